@@ -137,3 +137,51 @@ def drop_listed(rows: DataFrame, listed: DataFrame, listed_on: list[str], rows_o
     through = marked.where(~F.col("__bl_maybe"))
     checked = marked.where(F.col("__bl_maybe")).join(found, same, "left_anti")
     return through.unionByName(checked).drop("__bl_maybe")
+
+
+#: A key with fewer rows than this is nobody's burden.
+LIGHT = 500
+
+
+def skew_join(left: DataFrame, on: str, spread: str, right: DataFrame, right_on: str, sized: DataFrame | None = None) -> DataFrame:
+    """Inner join of left with right, which has one row a key. Keys with more than a thousandth of left's rows (fewer
+    than a thousand keys), if LIGHT rows or more, are spread over as many salts as they hold thousandths, and right's
+    rows for them repeated. sized: a table with left's keys that is cheaper to count."""
+    by_key = (sized if sized is not None else left).groupBy(F.col(on).alias("__bl_key")).agg(F.count(F.lit(1)).alias("__bl_n"))
+    most, total = by_key.agg(F.max("__bl_n"), F.sum("__bl_n")).first()
+    if most is None or most < LIGHT or most * 1000 <= total:
+        return left.join(right, F.col(on) == F.col(right_on))
+    heavy = by_key.where((F.col("__bl_n") * 1000 > total) & (F.col("__bl_n") >= LIGHT))
+    heavy = F.broadcast(stash(heavy.select("__bl_key", F.ceil(F.col("__bl_n") * 1000 / F.lit(total)).cast("int").alias("__bl_salts")), "heavy"))
+    salts = F.coalesce("__bl_salts", F.lit(1))
+    a = left.join(heavy, F.col(on) == F.col("__bl_key"), "left").withColumn("__bl_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__bl_key", "__bl_salts")
+    b = right.join(heavy, F.col(right_on) == F.col("__bl_key"), "left").withColumn("__bl_salt_r", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__bl_key", "__bl_salts")
+    return a.join(b, (F.col(on) == F.col(right_on)) & (F.col("__bl_salt") == F.col("__bl_salt_r"))).drop("__bl_salt", "__bl_salt_r")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of links (a, b), root the smallest node of its component.
+
+    Each turn points every node at its smallest neighbour's smallest neighbour and contracts the links to those ends,
+    so stars vanish in one turn and chains shrink to a third at least. The smallest node of a component always points
+    at itself, so it is the one that is left. Everything stays in tables; the driver sees counts only.
+    """
+    edges = stash(links.select("a", "b").where("a <> b").distinct(), "edges")
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    first = True
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "pointers")
+        to = up.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))
+        up = stash(skew_join(up, "root", "node", to, "p_node").select("node", F.col("p_root").alias("root")), "pointers")
+        to = up.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))
+        if first:
+            roots, first = up, False
+        else:
+            known = up.select(F.col("node").alias("k"))
+            moved = skew_join(roots, "root", "node", to, "p_node").select("node", F.col("p_root").alias("root"))
+            roots = stash(moved.unionByName(roots.join(known, F.col("root") == F.col("k"), "left_anti")), "roots")
+        one = skew_join(edges, "a", "b", to, "p_node").select(F.col("p_root").alias("a"), "b")
+        two = skew_join(one, "b", "a", to, "p_node", sized=edges).select("a", F.col("p_root").alias("b"))
+        edges = stash(two.where("a <> b").distinct(), "edges")
+    return roots
