@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 MASK = 0xFFFFFFFF
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once: nested bit operations would double the expression at each step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _mul(a: Column, k: int) -> Column:
     """a * k mod 2**32 in halves, so that no 64-bit product overflows."""
     high = (F.shiftrightunsigned(a, 16) * k).bitwiseAND(F.lit(0xFFFF))
@@ -22,6 +27,31 @@ def _fold(h: Column, by: int) -> Column:
     return h.bitwiseXOR(F.shiftrightunsigned(h, by))
 
 
+def _generated(swapped: Column) -> Column | None:
+    """The engine's own hash expression with seed 0, which is compiled; None where the session does not give access."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    if sc is None or not hasattr(swapped, "_jc"):
+        return None
+    try:
+        utils = sc._jvm.org.apache.spark.sql.classic.ExpressionUtils
+        inner = sc._jvm.PythonUtils.toSeq([utils.expression(swapped._jc)])
+        return Column(utils.column(sc._jvm.org.apache.spark.sql.catalyst.expressions.Murmur3Hash(inner, 0)))
+    except Exception:
+        return None
+
+
+def hash32_portable(swapped: Column) -> Column:
+    """The same hash from public functions only."""
+    h = _let(swapped.cast("bigint").bitwiseAND(F.lit(MASK)), lambda x: _mul(x, 0xCC9E2D51))
+    h = _let(_let(h, lambda x: _rotl(x, 15)), lambda x: _mul(x, 0x1B873593))
+    h = _let(h, lambda x: (_rotl(x, 13) * 5 + 0xE6546B64).bitwiseAND(F.lit(MASK)).bitwiseXOR(F.lit(4)))
+    h = _let(_let(h, lambda x: _fold(x, 16)), lambda x: _mul(x, 0x85EBCA6B))
+    h = _let(_let(h, lambda x: _fold(x, 13)), lambda x: _mul(x, 0xC2B2AE35))
+    return _let(_let(h, lambda x: _fold(x, 16)), lambda x: F.when(x >= 2**31, x - 2**32).otherwise(x)).cast("int")
+
+
 def unsigned_key(key: Column) -> Column:
     """The 32-bit key as an unsigned number: the order of its big-endian bytes."""
     return key.cast("bigint").bitwiseAND(F.lit(MASK))
@@ -41,10 +71,9 @@ def hash32(key: Column) -> Column:
         .bitwiseOR(F.shiftleft(x, 8).bitwiseAND(F.lit(0xFF0000)))
         .bitwiseOR(F.shiftleft(x, 24).bitwiseAND(F.lit(0xFF000000)))
     )
-    block = _mul(_rotl(_mul(swapped, 0xCC9E2D51), 15), 0x1B873593)
-    h = (_rotl(block, 13) * 5 + 0xE6546B64).bitwiseAND(F.lit(MASK)).bitwiseXOR(F.lit(4))
-    h = _fold(_mul(_fold(_mul(_fold(h, 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
-    return F.when(h >= 2**31, h - 2**32).otherwise(h).cast("int")
+    signed = F.when(swapped >= 2**31, swapped - 2**32).otherwise(swapped).cast("int")
+    made = _generated(signed)
+    return F.when(key.isNotNull(), made if made is not None else hash32_portable(signed))
 
 
 def bucket_id(key: Column, n: int) -> Column:

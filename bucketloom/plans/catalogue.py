@@ -1,4 +1,307 @@
-"""Queries and their SQL."""
+"""Queries over the test tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bucketloom.functions.hashing import bucket_id, encode_key, hash32, unsigned_key
+from bucketloom.functions.sizes import bucket_count, record_size
+from bucketloom.operators import joins, sharding, sizing
+from bucketloom.operators.bucketing import write_by_size, write_by_threshold, write_fixed
+from bucketloom.sources import datagen
+from bucketloom.sources.layout import file_name, files, read_directory
+from bucketloom.sources.pairs import join_pairs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lineitem(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+
+
+def sized_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+
+
+JOINED = ["l_orderkey", "l_linenumber", "l_quantity", "o_orderpriority"]
+JOIN_SQL = "SELECT l_orderkey, l_linenumber, l_quantity, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+MUL = "(((({a}) & 65535) * {k} + ((((({a}) >> 16) * {k}) & 65535) << 16)) & 4294967295)"
+ROT = "(((({a}) << {n}) | (({a}) >> (32 - {n}))) & 4294967295)"
+
+
+def murmur_sql(source: str, key: str, columns: str) -> str:
+    """A CTE chain ending in `hashed`: columns and h, the signed hash of the 32-bit key."""
+    mul = lambda a, k: MUL.format(a=a, k=f"{k}::BIGINT")
+    rot = lambda a, n: ROT.format(a=a, n=n)
+    return f"""WITH m0 AS (SELECT {columns}, {key}::BIGINT & 4294967295 AS x FROM {source}),
+m1 AS (SELECT *, (x >> 24) | ((x >> 8) & 65280) | ((x << 8) & 16711680) | ((x << 24) & 4278190080) AS s FROM m0),
+m2 AS (SELECT *, {mul('s', 3432918353)} AS k1 FROM m1),
+m3 AS (SELECT *, {rot('k1', 15)} AS k2 FROM m2),
+m4 AS (SELECT *, {mul('k2', 461845907)} AS k3 FROM m3),
+m5 AS (SELECT *, xor(({rot('k3', 13)} * 5 + 3864292196) & 4294967295, 4) AS h0 FROM m4),
+m6 AS (SELECT *, xor(h0, h0 >> 16) AS h1 FROM m5),
+m7 AS (SELECT *, {mul('h1', 2246822507)} AS h2 FROM m6),
+m8 AS (SELECT *, xor(h2, h2 >> 13) AS h3 FROM m7),
+m9 AS (SELECT *, {mul('h3', 3266489909)} AS h4 FROM m8),
+hashed AS (SELECT {columns}, CASE WHEN xor(h4, h4 >> 16) >= 2147483648 THEN xor(h4, h4 >> 16) - 4294967296 ELSE xor(h4, h4 >> 16) END AS h FROM m9)
+"""
+
+
+def floor_mod(a: str, n: int) -> str:
+    return f"((({a}) % {n} + {n}) % {n})"
+
+
+def varint_sql(v: str) -> str:
+    z = f"xor(({v})::BIGINT << 1, ({v})::BIGINT >> 63)"
+    return "(1 + " + " + ".join(f"({z} >= {1 << (7 * k)})::BIGINT" for k in range(1, 9)) + ")"
+
+
+def text_size_sql(c: str) -> str:
+    return f"({varint_sql(f'octet_length(encode({c}))')} + octet_length(encode({c})))"
+
+
+EVENT_SIZE = f"({varint_sql('event_id')} + {varint_sql('user_id')} + {text_size_sql('event_type')} + 8 + {text_size_sql('props')})"
+TARGET = 100_000
+
+
+def flagship(spark, sf_dir):
+    j = joins.bucketed_join(lineitem(spark, sf_dir), orders(spark, sf_dir), "l_orderkey", "o_orderkey", 8)
+    return j.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+
+
+query("flagship", "SELECT o_orderpriority, count(*) AS n_lines, sum(l_quantity)::BIGINT AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")(flagship)
+
+
+@query("join_inner_plain", JOIN_SQL)
+def _(spark, sf_dir):
+    return joins.plain_join(lineitem(spark, sf_dir), orders(spark, sf_dir), "l_orderkey", "o_orderkey").select(*JOINED)
+
+
+@query("smb_join_fixed", JOIN_SQL)
+def _(spark, sf_dir):
+    return joins.bucketed_join(lineitem(spark, sf_dir), orders(spark, sf_dir), "l_orderkey", "o_orderkey", 8).select(*JOINED)
+
+
+@query("smb_join_coalesced", JOIN_SQL)
+def _(spark, sf_dir):
+    return joins.bucketed_join(lineitem(spark, sf_dir), orders(spark, sf_dir), "l_orderkey", "o_orderkey", 8, 4).select(*JOINED)
+
+
+@query("smb_join_gcd", JOIN_SQL)
+def _(spark, sf_dir):
+    return joins.congruent_join(spark, write_fixed(lineitem(spark, sf_dir), "l_orderkey", 6), write_fixed(orders(spark, sf_dir), "o_orderkey", 4)).select(*JOINED)
+
+
+@query("smb_join_skewadj", JOIN_SQL)
+def _(spark, sf_dir):
+    a, b = write_by_size(lineitem(spark, sf_dir), "l_orderkey", 1), write_by_size(orders(spark, sf_dir), "o_orderkey", 0.25)
+    return joins.congruent_join(spark, a, b).select(*JOINED)
+
+
+@query("smb_join_auto", JOIN_SQL)
+def _(spark, sf_dir):
+    a, b = write_by_threshold(lineitem(spark, sf_dir), "l_orderkey", 0.01, 1), write_by_threshold(orders(spark, sf_dir), "o_orderkey", 0.05, 0.25)
+    return joins.congruent_join(spark, a, b).select(*JOINED)
+
+
+@query("smb_join_pairs", JOIN_SQL)
+def _(spark, sf_dir):
+    return join_pairs(spark, write_fixed(lineitem(spark, sf_dir), "l_orderkey", 6), write_fixed(orders(spark, sf_dir), "o_orderkey", 4)).select(*JOINED)
+
+
+@query("smb_join_events_customer", "SELECT event_id, user_id, c_name FROM events JOIN customer ON user_id = c_custkey")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return joins.bucketed_join(e, c, "user_id", "c_custkey", 4).select("event_id", "user_id", "c_name")
+
+
+@query(
+    "smb_cogroup",
+    "SELECT coalesce(l_orderkey, o_orderkey) AS key, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM (SELECT l_orderkey, count(*) AS n_left FROM lineitem GROUP BY 1) "
+    "FULL JOIN (SELECT o_orderkey, count(*) AS n_right FROM orders GROUP BY 1) ON l_orderkey = o_orderkey",
+)
+def _(spark, sf_dir):
+    n = lambda name: [F.count(F.lit(1)).alias(name)]
+    c = joins.cogroup(lineitem(spark, sf_dir), orders(spark, sf_dir), "l_orderkey", "o_orderkey", n("n_left"), n("n_right"))
+    return c.select("key", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+
+
+def outer(how: str, columns: list[str]):
+    return lambda spark, sf_dir: joins.bucketed_join(orders(spark, sf_dir), lineitem(spark, sf_dir), "o_orderkey", "l_orderkey", 8, how=how).select(*columns)
+
+
+query("smb_left_outer", "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")(outer("left", ["o_orderkey", "l_linenumber"]))
+query("smb_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")(outer("left_semi", ["o_orderkey"]))
+query("smb_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")(outer("left_anti", ["o_orderkey"]))
+
+
+def assigned(n: int):
+    return lambda spark, sf_dir: orders(spark, sf_dir).select("o_orderkey", hash32(F.col("o_orderkey")).alias("h"), bucket_id(F.col("o_orderkey"), n).alias("bucket_id"))
+
+
+for _name, _n in (("bucket_assign", 8), ("bucket_assign_nonpow2", 6)):
+    query(_name, murmur_sql("orders", "o_orderkey", "o_orderkey") + f"SELECT o_orderkey, h::INTEGER AS h, {floor_mod('h', _n)}::INTEGER AS bucket_id FROM hashed")(assigned(_n))
+
+
+@query("bucket_histogram", murmur_sql("lineitem", "l_orderkey", "l_orderkey") + f"SELECT {floor_mod('h', 8)}::INTEGER AS bucket_id, count(*) AS n FROM hashed GROUP BY 1")
+def _(spark, sf_dir):
+    return lineitem(spark, sf_dir).groupBy(bucket_id(F.col("l_orderkey"), 8).alias("bucket_id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+
+
+@query("record_sizes", f"SELECT event_id, ({EVENT_SIZE} + 88)::BIGINT AS bytes FROM events")
+def _(spark, sf_dir):
+    e = sized_events(spark, sf_dir)
+    return e.select("event_id", record_size(e.schema, 88).alias("bytes"))
+
+
+def buckets_of(e: DataFrame) -> int:
+    return bucket_count(e.agg(F.coalesce(F.sum(record_size(e.schema, 104)), F.lit(0))).first()[0], TARGET)
+
+
+COUNT_SQL = f"(SELECT 1::BIGINT << ceil(log2(1 + sum({EVENT_SIZE} + 104)::BIGINT // {TARGET}))::INTEGER FROM events)"
+
+
+@query("num_buckets", f"SELECT sum({EVENT_SIZE} + 104)::BIGINT AS bytes, {COUNT_SQL}::INTEGER AS num_buckets FROM events")
+def _(spark, sf_dir):
+    e = sized_events(spark, sf_dir)
+    return e.agg(F.sum(record_size(e.schema, 104)).cast("bigint").alias("bytes")).withColumn("num_buckets", F.lit(buckets_of(e)).cast("int"))
+
+
+SIZES_SQL = murmur_sql("events", "user_id", "event_id, user_id, event_type, value, props")
+
+
+@query("bucket_bytes", SIZES_SQL + f"SELECT {floor_mod('h', 16)}::INTEGER AS bucket_id, sum({EVENT_SIZE} + 104)::BIGINT AS bytes FROM hashed GROUP BY 1")
+def _(spark, sf_dir):
+    e = sized_events(spark, sf_dir)
+    return sizing.bucket_bytes(e, bucket_id(F.col("user_id"), 16), record_size(e.schema, 104))
+
+
+@query(
+    "shards_by_size",
+    SIZES_SQL + f", b AS (SELECT {floor_mod('h', 16)} AS bucket, sum({EVENT_SIZE} + 104)::BIGINT AS bytes FROM hashed GROUP BY 1) "
+    f"SELECT i::INTEGER AS bucket_id, (1 + coalesce(bytes, 0) // {TARGET})::INTEGER AS shards FROM range(16) r(i) LEFT JOIN b ON i = bucket",
+)
+def _(spark, sf_dir):
+    e = sized_events(spark, sf_dir)
+    return sizing.shards_by_size(e, bucket_id(F.col("user_id"), 16), record_size(e.schema, 104), 16, TARGET)
+
+
+@query("shards_by_eps")
+def _(spark, sf_dir):
+    counts = {r[0]: r[1] for r in table(spark, sf_dir, "events").groupBy(bucket_id(F.col("user_id"), 16)).count().collect()}
+    return spark.createDataFrame(list(enumerate(sizing.shards_by_eps(counts, 16, 0.1))), "bucket_id int, shards int")
+
+
+@query(
+    "shard_round_robin",
+    murmur_sql("events", "user_id", "event_id, user_id") + f", b AS (SELECT event_id, user_id, {floor_mod('h', 8)}::INTEGER AS bucket_id FROM hashed) "
+    "SELECT event_id, bucket_id, ((row_number() OVER (PARTITION BY bucket_id ORDER BY user_id, event_id) - 1) % 3)::INTEGER AS shard_id FROM b",
+)
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", bucket_id(F.col("user_id"), 8).alias("bucket_id"))
+    return e.select("event_id", "bucket_id", sharding.round_robin("bucket_id", F.lit(3), "user_id", "event_id").alias("shard_id"))
+
+
+@query("resolve_bucketing", "SELECT l.i::INTEGER AS l_bucket, 0 AS l_shard, r.i::INTEGER AS r_bucket, 0 AS r_shard FROM range(6) l(i), range(4) r(i) WHERE l.i % 2 = r.i % 2")
+def _(spark, sf_dir):
+    a, b = write_fixed(lineitem(spark, sf_dir), "l_orderkey", 6), write_fixed(orders(spark, sf_dir), "o_orderkey", 4)
+    return joins.resolve_bucketing(files(spark, a), files(spark, b), a.num_buckets, b.num_buckets)
+
+
+@query("sorted_within_bucket", "SELECT 0::BIGINT AS violations")
+def _(spark, sf_dir):
+    m = write_fixed(lineitem(spark, sf_dir), "l_orderkey", 8)
+    return joins.unsorted_rows(read_directory(spark, m), "l_orderkey").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query(
+    "unsigned_key_order",
+    "WITH k AS (SELECT CASE WHEN o_orderkey % 2 = 1 THEN -o_orderkey ELSE o_orderkey END AS key FROM orders) SELECT key, key & 4294967295 AS unsigned_key, printf('%08X', (key & 4294967295)::BIGINT) AS encoded FROM k",
+)
+def _(spark, sf_dir):
+    key = F.when(F.col("o_orderkey") % 2 == 1, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    k = orders(spark, sf_dir).select(key.alias("key"))
+    return k.select("key", unsigned_key(F.col("key")).alias("unsigned_key"), F.hex(encode_key(F.col("key"))).alias("encoded")).orderBy(encode_key(F.col("key")))
+
+
+@query(
+    "partition_n_over_k",
+    "SELECT i::INTEGER AS part, (1003 // 7 + (i < 1003 % 7)::INTEGER)::INTEGER AS even, (floor(1000 * (i + 1) / 28.0) + (i < 1000 - (SELECT sum(floor(1000 * (j + 1) / 28.0)) FROM range(7) q(j)))::INTEGER)::INTEGER AS weighted FROM range(7) r(i)",
+)
+def _(spark, sf_dir):
+    rows = list(zip(range(7), datagen.partition_n_over_k(1003, 7), datagen.partition_n_over_k(1000, 7, [1, 2, 3, 4, 5, 6, 7]), strict=True))
+    return spark.createDataFrame(rows, "part int, even int, weighted int")
+
+
+ZIPF_SQL = "WITH h AS (SELECT sum(1.0::DOUBLE / (i + 1)) AS h FROM range(100) r(i)) SELECT i AS rank, floor(100000.0::DOUBLE / (i + 1) / h / 4 + 0.5)::BIGINT AS adj FROM range(100) r(i), h"
+
+
+@query("zipf_frequencies", ZIPF_SQL)
+def _(spark, sf_dir):
+    return datagen.zipf_frequencies(spark, 1e5, 100, 1.0, 4)
+
+
+@query("gen_keys", "SELECT i::INTEGER AS id FROM range(15000) r(i)")
+def _(spark, sf_dir):
+    return datagen.keys(spark, 12_345).select("id")
+
+
+@query("gen_events_counts", f"SELECT rank, (4 * adj)::BIGINT AS n FROM ({ZIPF_SQL})")
+def _(spark, sf_dir):
+    e = datagen.events(spark, 1e5, 10_000, 100, 1.0, 4)
+    return e.groupBy(F.floor(F.col("id") / 100).cast("bigint").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hex_keys", "SELECT i AS bucket, printf('%08x', ((i + 16 * 12345) % 2147483648)::BIGINT) AS id, i AS parsed FROM range(16) r(i)")
+def _(spark, sf_dir):
+    t = spark.range(16).select(F.col("id").alias("bucket"), datagen.hex_key(F.col("id"), 16, F.lit(12345).cast("bigint")).alias("id"))
+    return t.withColumn("parsed", F.pmod(F.conv("id", 16, 10).cast("bigint"), F.lit(16).cast("bigint")))
+
+
+@query("file_names", "SELECT b.i::INTEGER AS bucket_id, s.i::INTEGER AS shard_id, printf('part-b%05d-s%05d.avro', b.i, s.i) AS name FROM range(4) b(i), range(3) s(i)")
+def _(spark, sf_dir):
+    return spark.createDataFrame([(b, s, file_name(b, s)) for b in range(4) for s in range(3)], "bucket_id int, shard_id int, name string")
+
+
+@query("reshuffle_identity", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_type").repartition(16).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flatten", "SELECT l_orderkey, l_linenumber FROM lineitem")
+def _(spark, sf_dir):
+    grouped = lineitem(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("lines"))
+    return grouped.select("l_orderkey", F.explode("lines").alias("l_linenumber"))
+
+
+@query("zipf_top", "SELECT i AS rank, floor(6000000000.0::DOUBLE / (i + 1) / (SELECT sum(1.0::DOUBLE / (j + 1)) FROM range(100000) q(j)) + 0.5)::BIGINT AS adj FROM range(8) r(i)")
+def _(spark, sf_dir):
+    return datagen.zipf_frequencies(spark, 6e9, 100_000, 1.0).orderBy("rank").limit(8)
+
+
+@query("write_by_size_counts", "SELECT count(*) AS n FROM lineitem")
+def _(spark, sf_dir):
+    return read_directory(spark, write_by_size(lineitem(spark, sf_dir), "l_orderkey", 1)).agg(F.count(F.lit(1)).alias("n"))

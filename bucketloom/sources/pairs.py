@@ -1,6 +1,7 @@
 """A Python data source that joins two directory layouts file pair by file pair: one partition a pair, no exchange.
 
-It reads with pyarrow, so the layouts must lie in a folder that all executors mount.
+Both files of a pair are sorted by key, so each left key finds its run of right rows by binary search; null keys never
+match and are left out at write time by the caller. Files are read with pyarrow, so the layouts must lie in a folder that all executors mount.
 """
 
 from __future__ import annotations
@@ -40,10 +41,19 @@ class PairReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator:
         if partition.value is None:
             return
+        import numpy as np
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
-        left, right = (pq.read_table(p, partitioning=None) for p in partition.value)
-        joined = left.join(right, keys=self.on[0], right_keys=self.on[1], join_type="inner", coalesce_keys=False)
+        left, right = (pq.ParquetFile(p).read(use_threads=False) for p in partition.value)
+        l_key, r_key = (t[k].to_numpy().astype("int64") & 0xFFFFFFFF for t, k in zip((left, right), self.on, strict=True))
+        if (np.diff(l_key) < 0).any() or (np.diff(r_key) < 0).any():
+            raise ValueError("Data is not sorted")
+        first, end = np.searchsorted(r_key, l_key, "left"), np.searchsorted(r_key, l_key, "right")
+        n = end - first
+        at = np.repeat(np.arange(len(l_key)), n)
+        to = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        joined = pa.table({**{c: left[c].take(pa.array(at)) for c in left.column_names}, **{c: right[c].take(pa.array(to)) for c in right.column_names}})
         yield from joined.select(self.names).to_batches()
 
 
