@@ -10,8 +10,9 @@ on the full sets; only that makes a link.
 
 No bucket is expanded into all its pairs. In turns, every bucket that still holds nodes of several components names a
 few of its nodes, and each node is compared with those of another component. Dense groups collapse into their component in a
-turn or two. What is left (buckets of nodes that are not similar) is compared exhaustively, in blocks of BLOCK by BLOCK
-nodes that emit survivors only. So every candidate pair is compared or already in one component.
+turn or two. What is left is compared exhaustively: pair by pair in buckets of SMALL nodes, and in blocks of BLOCK by
+BLOCK nodes that emit a spanning forest of their links in larger ones. So every candidate pair is compared or already in
+one component.
 
 Hot nodes and keys are salted or broadcast under a bound (`skew_join`, HOT_SHARE). Links and components stay in tables.
 
@@ -42,6 +43,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 HOT_SHARE = 1000
 #: How many nodes a mixed bucket names in each turn before the exhaustive one.
 TURNS = (3, 16)
+SMALL = 48
 BLOCK = 512
 CACHED_WORDS = 1_000_000
 RUN_BYTES = 8_000_000
@@ -188,13 +190,12 @@ def surviving(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return two.mapInPandas(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) whose full sets are similar. The texts of one document a node are read again and shingled."""
-    ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    chosen = sketched.join(ends, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("text_key").alias("key"))
+def sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of nodes (n): the texts of one document a node are read again and shingled."""
+    chosen = sketched.join(nodes, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("text_key").alias("key"))
     chosen = stash(chosen, "chosen")
     found = may_hold(docs.select(F.xxhash64("text").alias("text_key"), "text"), F.col("text_key"), bitmap_of(chosen, F.col("key"), 24), 24)
-    found = found.join(chosen.select("key", F.col("node").alias("wanted")), F.col("text_key") == F.col("key"), "left_semi")
+    found = found.join(chosen.select("key"), F.col("text_key") == F.col("key"), "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +203,12 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) ->
                 sets = [s for s in shingle_sets(part["text"].to_pylist(), k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], "int64"), pa.array([s.tobytes() for s in sets], "binary")], ["node", "shingles"])
 
-    sets = stash(found.select("text").mapInArrow(shingle, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return stash(found.select("text").mapInArrow(shingle, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
+    """pairs (a, b) whose full sets are similar."""
+    sets = sets_of(pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct(), docs, sketched, k)
     one = skew_join(pairs, "a", "b", sets.select(F.col("node").alias("node_a"), F.col("shingles").alias("set_a")), "node_a").drop("node_a")
     two = skew_join(one, "b", "a", sets.select(F.col("node").alias("node_b"), F.col("shingles").alias("set_b")), "node_b", sized=pairs).drop("node_b")
 
@@ -218,29 +224,60 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) ->
     return two.mapInArrow(run, "a bigint, b bigint")
 
 
-def exhaustive(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Plausible pairs of mixed buckets (key, node, label) with different labels, block by block."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.col("key").alias("s_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    t = members.join(sizes, F.col("key") == F.col("s_key"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    t = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    t = t.select("key", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    t = skew_join(t, "node", "key", sigs.select(F.col("node").alias("node_s"), "sig"), "node_s").drop("node_s")
+def few_pairs(members: DataFrame) -> DataFrame:
+    """All pairs with different labels of buckets of SMALL nodes or fewer: at most SMALL rows a member."""
+    t = members.where(F.col("n") <= SMALL)
+    other = t.select(F.col("key").alias("o_key"), F.col("node").alias("b"), F.col("label").alias("o_label"))
+    both = t.join(other, (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("o_label")))
+    return both.select(F.col("node").alias("a"), "b").distinct()
+
+
+def crowd_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame | None:
+    """Links between components in buckets over SMALL nodes.
+
+    Such buckets are joined into crowds (a node that shares several of them is in one crowd only). A crowd of m nodes
+    is cut into m / BLOCK blocks; each pair of blocks is compared in one call, pruned by the sequential test and decided
+    on the full sets, and emits a spanning forest of its links: fewer rows than it has nodes, whatever it compares.
+    """
+    large = stash(members.where(F.col("n") > SMALL).select("key", "node", "label"), "crowded")
+    if large.isEmpty():
+        return None
+    lows = large.groupBy("key").agg(F.min("node").alias("a")).withColumnRenamed("key", "l_key")
+    crowds = components(skew_join(large.select("key", "node"), "key", "node", lows, "l_key").select("a", F.col("node").alias("b")).distinct())
+    crowds = stash(crowds.join(large.select(F.col("node").alias("c_node"), "label").distinct(), F.col("node") == F.col("c_node")).select("node", "label", F.col("root").alias("crowd")), "crowds")
+    blocks = crowds.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("crowd", "b_crowd")
+    t = skew_join(crowds, "crowd", "node", blocks, "b_crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = sigs.join(sets_of(crowds.select(F.col("node").alias("n")), docs, sketched, k).withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node")).select(F.col("node").alias("s_node"), "sig", "shingles")
+    t = t.join(full, F.col("node") == F.col("s_node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    t = t.select("crowd", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "shingles")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        left, right = g[g["own"] == i], g[g["own"] == j]
-        ls, rs = matrix(left["sig"]), matrix(right["sig"])
-        ln, rn, ll, rl = left["node"].to_numpy(), right["node"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
-        out = []
-        for x in range(len(left)):
-            at = np.flatnonzero((rl != ll[x]) & (rn > ln[x] if i == j else rn != ln[x]))
-            at = at[plausible(np.broadcast_to(ls[x], (len(at), ls.shape[1])), rs[at])] if len(at) else at
-            out.append(np.stack([np.minimum(rn[at], ln[x]), np.maximum(rn[at], ln[x])], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), "int64")
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return t.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+        g = g.sort_values("node", ignore_index=True)
+        own, nodes, sig = g["own"].to_numpy(), g["node"].to_numpy(), matrix(g["sig"])
+        _, component = np.unique(g["label"].to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x, "<u8") for x in g["shingles"]]
+        size = np.fromiter(map(len, sets), "int64", len(sets))
+        words, item = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(size) - size
+        held, out = np.zeros(len(words), "int64"), []
+        for x in np.flatnonzero(own == i):
+            at = np.flatnonzero((own == j) & (component != component[x]) & ((np.arange(len(g)) > x) | (i != j)))
+            at = at[plausible(np.broadcast_to(sig[x], (len(at), sig.shape[1])), sig[at])] if len(at) else at
+            if not len(at):
+                continue
+            mine = item[begin[x] : begin[x] + size[x]]
+            held[mine] = 1
+            items = np.concatenate([item[begin[y] : begin[y] + size[y]] for y in at])
+            both = np.add.reduceat(held[items], np.cumsum(size[at]) - size[at])
+            held[mine] = 0
+            for y in at[DENOMINATOR * both >= NUMERATOR * (size[x] + size[at] - both)]:
+                if component[x] != component[y]:
+                    out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+                    component[component == component[y]] = component[x]
+        return pd.DataFrame(np.array(out, "int64").reshape(-1, 2), columns=["a", "b"])
+
+    return t.groupBy("crowd", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -271,27 +308,35 @@ def link_nodes(docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
     links, roots, used, seen = None, None, 0, None
     for turn in (*TURNS, None):
         t = stash(labelled(members, roots), "labelled")
-        still = t.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"c{x}") for x, s in enumerate(salts[used : used + (turn or 0)])]).where("low <> high")
+        still = t.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), *[F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"c{x}") for x, s in enumerate(salts[used : used + (turn or 0)])]).where("low <> high")
         still = stash(still, "mixed")
         if still.isEmpty():
             break
-        bound = still.select(F.col("key").alias("m_key"), *([F.array_distinct(F.array(*[F.col(f"c{x}") for x in range(turn)])).alias("named")] if turn else []))
+        bound = still.select(F.col("key").alias("m_key"), "n", *([F.array_distinct(F.array(*[F.col(f"c{x}") for x in range(turn)])).alias("named")] if turn else []))
         mixed_members = skew_join(t, "key", "node", bound, "m_key").drop("m_key")
+        new = None
         if turn:
             used += turn
             pairs = mixed_members.select("node", F.explode("named").alias("other"), "label").where("node <> other")
             pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
             if roots is not None:
-                pairs = labelled(labelled(pairs.withColumnRenamed("a", "node"), roots).withColumnRenamed("node", "a").withColumnRenamed("label", "la").withColumnRenamed("b", "node"), roots).withColumnRenamed("node", "b").where("la <> label").select("a", "b")
-            pairs = stash(surviving(stash(pairs, "pairs"), sigs), "survivors")
+                one = labelled(pairs.withColumnRenamed("a", "node"), roots).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("label").alias("la"))
+                pairs = labelled(one, roots).where("la <> label").select("a", F.col("node").alias("b"))
         else:
-            pairs = stash(exhaustive(mixed_members, sigs), "survivors")
+            mixed_members = stash(mixed_members, "left-over")
+            new = crowd_links(mixed_members, sigs, docs, own, k)
+            pairs = few_pairs(mixed_members)
         if seen is not None:
-            pairs = stash(pairs.join(seen, ["a", "b"], "left_anti"), "survivors")
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = stash(pairs, "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        if pairs.isEmpty():
+        alive = stash(surviving(pairs, sigs), "survivors")
+        if not alive.isEmpty():
+            found = verified(alive, docs, own, k)
+            new = found if new is None else new.unionByName(found)
+        if new is None:
             continue
-        new = stash(verified(pairs, docs, own, k), "links")
+        new = stash(new, "links")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
     return roots if roots is not None else buckets.limit(0).select(F.col("low").alias("node"), F.col("high").alias("root"))
