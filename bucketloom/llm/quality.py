@@ -84,7 +84,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             for lang, parts in held.items():
                 gram, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype("int64")
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view("int64")), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), "string"), pa.array(gram.view("int64")), pa.array(n)], ["lang", "gram", "n"])
 
         for b in batches:
             for part in text_runs(b):
