@@ -73,20 +73,26 @@ def within_one(a: Column, b: Column) -> Column:
     j + o - 1 of b. A character keeps the bits whose next characters are equal; an edit moves a bit to its place or
     beside it.
     """
-    x, y = F.split(a, ""), F.split(b, "")
     begin = F.struct(F.lit(2).alias("r0"), F.lit(6).alias("r1"))
 
-    def step(acc: Column, c: Column) -> Column:
-        same = [F.when(F.when(c["j"] + o >= 0, F.get(y, c["j"] + o)) == c["ch"], F.lit(1 << (o + 1))).otherwise(F.lit(0)) for o in (-1, 0, 1)]
-        match = same[0].bitwiseOR(same[1]).bitwiseOR(same[2])
-        r0 = acc["r0"].bitwiseAND(match)
-        r1 = acc["r1"].bitwiseAND(match).bitwiseOR(acc["r0"]).bitwiseOR(F.shiftright(acc["r0"], 1)).bitwiseOR(F.shiftleft(r0, 1)).bitwiseAND(F.lit(7))
-        return F.struct(r0.alias("r0"), r1.alias("r1"))
-
-    end = F.get(F.lit([1, 2, 4]), F.size(y) - F.size(x) + 1)
-    chars = F.transform(x, lambda ch, j: F.struct(ch.alias("ch"), j.alias("j")))
-    reached = F.aggregate(chars, begin, step, lambda acc: acc["r0"].bitwiseOR(acc["r1"]).bitwiseAND(end) != 0)
-    return F.when(F.abs(F.size(y) - F.size(x)) <= THRESHOLD, reached).otherwise(F.lit(False))
+    def reached(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+
+        def step(acc: Column, c: Column) -> Column:
+            same = [F.when(F.when(c["j"] + o >= 0, F.get(y, c["j"] + o)) == c["ch"], F.lit(1 << (o + 1))).otherwise(F.lit(0)) for o in (-1, 0, 1)]
+            match = same[0].bitwiseOR(same[1]).bitwiseOR(same[2])
+            r0 = acc["r0"].bitwiseAND(match)
+            r1 = acc["r1"].bitwiseAND(match).bitwiseOR(acc["r0"]).bitwiseOR(F.shiftright(acc["r0"], 1)).bitwiseOR(F.shiftleft(r0, 1)).bitwiseAND(F.lit(7))
+            return F.struct(r0.alias("r0"), r1.alias("r1"))
+
+        end = F.get(F.lit([1, 2, 4]), F.size(y) - F.size(x) + 1)
+        chars = F.transform(x, lambda ch, j: F.struct(ch.alias("ch"), j.alias("j")))
+        reach = F.aggregate(chars, begin, step, lambda acc: acc["r0"].bitwiseOR(acc["r1"]).bitwiseAND(end) != 0)
+        return F.when(F.abs(F.size(y) - F.size(x)) <= THRESHOLD, reach).otherwise(F.lit(False))
+
+    # an array of one pair: the lambda binds the split lines, which would else be split again for every character
+    pair = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    return F.get(F.transform(pair, reached), F.lit(0))
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
