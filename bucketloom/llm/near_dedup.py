@@ -23,6 +23,7 @@ no rows; extra columns are ignored by the query and kept by `kept_rows`.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
@@ -45,6 +46,9 @@ HOT_SHARE = 1000
 TURNS = (3, 16)
 SMALL = 48
 BLOCK = 512
+#: Bytes of shingle sets in a block, and in a batch that a Python worker gets.
+BLOCK_BYTES = 32_000_000
+BATCH_BYTES = "8m"
 CACHED_WORDS = 1_000_000
 RUN_BYTES = 8_000_000
 #: Fixed value: the odd multiplier of Fibonacci hashing, 2**64 / golden ratio.
@@ -173,6 +177,18 @@ def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Full sets can be long, so rows that carry them reach Python in batches of BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def matrix(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), "<u4").reshape(-1, BANDS * ROWS)
 
@@ -195,7 +211,8 @@ def sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> D
     chosen = sketched.join(nodes, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("text_key").alias("key"))
     chosen = stash(chosen, "chosen")
     found = may_hold(docs.select(F.xxhash64("text").alias("text_key"), "text"), F.col("text_key"), bitmap_of(chosen, F.col("key"), 24), 24)
-    found = found.join(chosen.select("key"), F.col("text_key") == F.col("key"), "left_semi")
+    # keys are unique (a text has one node); a semi join would be pushed below the filter, and all texts shuffled
+    found = found.join(chosen.select("key"), F.col("text_key") == F.col("key"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,9 +231,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a_, b_, keep = b["set_a"].to_pylist(), b["set_b"].to_pylist(), []
-            for x, y in zip(a_, b_, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            keep = []
+            for x, y in zip(b["set_a"], b["set_b"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, "bool"))
@@ -236,7 +253,7 @@ def crowd_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, sketched:
     """Links between components in buckets over SMALL nodes.
 
     Such buckets are joined into crowds (a node that shares several of them is in one crowd only). A crowd of m nodes
-    is cut into m / BLOCK blocks; each pair of blocks is compared in one call, pruned by the sequential test and decided
+    is cut into m / BLOCK blocks, or more if their sets are over BLOCK_BYTES; each pair of blocks is compared in one call, pruned by the sequential test and decided
     on the full sets, and emits a spanning forest of its links: fewer rows than it has nodes, whatever it compares.
     """
     large = stash(members.where(F.col("n") > SMALL).select("key", "node", "label"), "crowded")
@@ -245,9 +262,12 @@ def crowd_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, sketched:
     lows = large.groupBy("key").agg(F.min("node").alias("a")).withColumnRenamed("key", "l_key")
     crowds = components(skew_join(large.select("key", "node"), "key", "node", lows, "l_key").select("a", F.col("node").alias("b")).distinct())
     crowds = stash(crowds.join(large.select(F.col("node").alias("c_node"), "label").distinct(), F.col("node") == F.col("c_node")).select("node", "label", F.col("root").alias("crowd")), "crowds")
-    blocks = crowds.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("crowd", "b_crowd")
+    sets = sets_of(crowds.select(F.col("node").alias("n")), docs, sketched, k).withColumnRenamed("node", "f_node")
+    weighed = crowds.join(sets.select("f_node", F.octet_length("shingles").alias("bytes")), F.col("node") == F.col("f_node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    blocks = weighed.groupBy("crowd").agg(blocks).withColumnRenamed("crowd", "b_crowd")
     t = skew_join(crowds, "crowd", "node", blocks, "b_crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = sigs.join(sets_of(crowds.select(F.col("node").alias("n")), docs, sketched, k).withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node")).select(F.col("node").alias("s_node"), "sig", "shingles")
+    full = sigs.join(sets, F.col("node") == F.col("f_node")).select(F.col("node").alias("s_node"), "sig", "shingles")
     t = t.join(full, F.col("node") == F.col("s_node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     t = t.select("crowd", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "shingles")
 
@@ -332,7 +352,8 @@ def link_nodes(docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
         seen = pairs if seen is None else seen.unionByName(pairs)
         alive = stash(surviving(pairs, sigs), "survivors")
         if not alive.isEmpty():
-            found = verified(alive, docs, own, k)
+            with small_batches(docs.sparkSession):
+                found = stash(verified(alive, docs, own, k), "verified")
             new = found if new is None else new.unionByName(found)
         if new is None:
             continue
