@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -34,9 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, runs once."""
+#: Rows of a few numbers that one task writes.
+ROWS_A_FILE = 200_000
+
+
+def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, runs once.
+
+    rows: a bound of df's rows, if one is known; a task, and so a file, is then made for each a_file of them at most,
+    where a small table would else become a file for each shuffle partition."""
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, math.ceil(rows / a_file)))
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -168,20 +177,21 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stash(links.select("a", "b").where("a <> b").distinct(), "edges")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    first = True
-    while not edges.isEmpty():
+    first, most = True, 0
+    while n := edges.count():
+        most = most or 2 * n
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "pointers")
+        up = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "pointers", rows=2 * n)
         to = up.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))
-        up = stash(skew_join(up, "root", "node", to, "p_node").select("node", F.col("p_root").alias("root")), "pointers")
+        up = stash(skew_join(up, "root", "node", to, "p_node").select("node", F.col("p_root").alias("root")), "pointers", rows=2 * n)
         to = up.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))
         if first:
             roots, first = up, False
         else:
             known = up.select(F.col("node").alias("k"))
             moved = skew_join(roots, "root", "node", to, "p_node").select("node", F.col("p_root").alias("root"))
-            roots = stash(moved.unionByName(roots.join(known, F.col("root") == F.col("k"), "left_anti")), "roots")
+            roots = stash(moved.unionByName(roots.join(known, F.col("root") == F.col("k"), "left_anti")), "roots", rows=most)
         one = skew_join(edges, "a", "b", to, "p_node").select(F.col("p_root").alias("a"), "b")
         two = skew_join(one, "b", "a", to, "p_node", sized=edges).select("a", F.col("p_root").alias("b"))
-        edges = stash(two.where("a <> b").distinct(), "edges")
+        edges = stash(two.where("a <> b").distinct(), "edges", rows=n)
     return roots

@@ -5,8 +5,9 @@ hash of the set. Of each node the signature (BANDS x ROWS minima) and band keys
 share a band key may be similar (at similarity 0.8 all bands miss with probability 7e-6).
 
 Candidates are pruned in turn, batch after batch of the signatures: with m equal minima of n the similarity is
-Beta(m + 1, n - m + 1) distributed, and a pair goes once the chance of 0.8 or more is under MISS. Survivors are compared
-on the full sets; only that makes a link.
+Beta(m + 1, n - m + 1) distributed, and a pair goes once the chance of 0.8 or more is under MISS. The test sees one byte
+of each minimum: unequal ones agree in 1 of 256 cases, which can only keep a pair longer. Survivors are compared on the
+full sets; only that makes a link.
 
 No bucket is expanded into all its pairs. In turns, every bucket that still holds nodes of several components names a
 few of its nodes, and each node is compared with those of another component. Dense groups collapse into their component in a
@@ -24,6 +25,7 @@ no rows; extra columns are ignored by the query and kept by `kept_rows`.
 from __future__ import annotations
 
 import contextlib
+import functools
 import math
 from collections.abc import Iterator
 
@@ -43,14 +45,16 @@ MISS = 1e-6
 NUMERATOR, DENOMINATOR = 80, 100
 HOT_SHARE = 1000
 #: How many nodes a mixed bucket names in each turn before the exhaustive one.
-TURNS = (3, 16)
+TURNS = (1, 16)
 SMALL = 48
 BLOCK = 512
 #: Bytes of shingle sets in a block, and in a batch that a Python worker gets.
 BLOCK_BYTES = 32_000_000
 BATCH_BYTES = "8m"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 RUN_BYTES = 8_000_000
+#: Sets that one task shingles, and pairs of sets that one compares.
+SETS_A_FILE = 5_000
 #: Fixed value: the odd multiplier of Fibonacci hashing, 2**64 / golden ratio.
 MIX = 0x9E3779B97F4A7C15
 
@@ -142,7 +146,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     sig = signature(s, by)
                     with np.errstate(over="ignore"):
                         band = mixed((sig.reshape(BANDS, ROWS).astype("uint64") * weights).sum(axis=1) * np.uint64(BANDS) + np.arange(BANDS, dtype="uint64"))
-                    nodes.append(node_of(s)), keys.append(band.view("int64")), sigs.append(sig.tobytes())
+                    nodes.append(node_of(s)), keys.append(band.view("int64")), sigs.append(sig.astype("uint8").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["text_key"], pa.array(sizes, "int64"), pa.array(nodes, "int64"), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, "binary")],
                     ["doc_id", "text_key", "n_shingles", "node", "bands", "sig"],
@@ -190,7 +194,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def matrix(sigs) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), "<u4").reshape(-1, BANDS * ROWS)
+    return np.frombuffer(b"".join(sigs), "uint8").reshape(-1, BANDS * ROWS)
 
 
 def surviving(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -208,11 +212,14 @@ def surviving(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of nodes (n): the texts of one document a node are read again and shingled."""
-    chosen = sketched.join(nodes, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("text_key").alias("key"))
-    chosen = stash(chosen, "chosen")
+    nodes = stash(nodes, "asked")
+    n = nodes.count()
+    likely = may_hold(sketched.select("node", "text_key"), F.col("node"), bitmap_of(nodes, F.col("n"), 24), 24)
+    chosen = stash(likely.join(nodes, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("text_key").alias("key")), "chosen", rows=n)
     found = may_hold(docs.select(F.xxhash64("text").alias("text_key"), "text"), F.col("text_key"), bitmap_of(chosen, F.col("key"), 24), 24)
-    # keys are unique (a text has one node); a semi join would be pushed below the filter, and all texts shuffled
-    found = found.join(chosen.select("key"), F.col("text_key") == F.col("key"))
+    # one row a text, before the shuffle where copies meet in a task; the join then has its rows in place. Keys are unique
+    # (a text has one node); a semi join would be pushed below the filter, and all texts shuffled
+    found = found.groupBy("text_key").agg(F.first("text").alias("text")).join(chosen.select("key"), F.col("text_key") == F.col("key"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,7 +227,7 @@ def sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> D
                 sets = [s for s in shingle_sets(part["text"].to_pylist(), k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], "int64"), pa.array([s.tobytes() for s in sets], "binary")], ["node", "shingles"])
 
-    return stash(found.select("text").mapInArrow(shingle, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return stash(found.select("text").mapInArrow(shingle, "node bigint, shingles binary"), "sets", rows=n, a_file=SETS_A_FILE)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
@@ -322,14 +329,16 @@ def link_nodes(docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
     marked = keyed.join(hot, F.col("key") == F.col("h_key"), "left")
     members = marked.where("h_key is not null").select("node", "key").distinct().unionByName(marked.where("h_key is null").select("node", "key").join(cold, F.col("key") == F.col("c_key"), "left_semi").distinct())
     members = stash(members, "members")
-    shared = members.select("node").distinct()
-    sigs = stash(own.join(shared.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("sig").alias("sig")), "signatures")
+    shared = stash(members.select("node").distinct(), "shared")
+    n_members, n_buckets = members.count(), buckets.count()
+    likely = may_hold(own.select("node", "sig"), F.col("node"), bitmap_of(shared, F.col("node"), 24), 24)
+    sigs = stash(likely.join(shared.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("sig").alias("sig")), "signatures")
 
     links, roots, used, seen = None, None, 0, None
     for turn in (*TURNS, None):
-        t = stash(labelled(members, roots), "labelled")
+        t = stash(labelled(members, roots), "labelled", rows=n_members)
         still = t.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), *[F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"c{x}") for x, s in enumerate(salts[used : used + (turn or 0)])]).where("low <> high")
-        still = stash(still, "mixed")
+        still = stash(still, "mixed", rows=n_buckets)
         if still.isEmpty():
             break
         bound = still.select(F.col("key").alias("m_key"), "n", *([F.array_distinct(F.array(*[F.col(f"c{x}") for x in range(turn)])).alias("named")] if turn else []))
@@ -343,30 +352,28 @@ def link_nodes(docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
                 one = labelled(pairs.withColumnRenamed("a", "node"), roots).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("label").alias("la"))
                 pairs = labelled(one, roots).where("la <> label").select("a", F.col("node").alias("b"))
         else:
-            mixed_members = stash(mixed_members, "left-over")
+            mixed_members = stash(mixed_members, "left-over", rows=n_members)
             new = crowd_links(mixed_members, sigs, docs, own, k)
             pairs = few_pairs(mixed_members)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        alive = stash(surviving(pairs, sigs), "survivors")
-        if not alive.isEmpty():
+        alive = stash(surviving(pairs, sigs), "survivors", rows=pairs.count())
+        found = [] if new is None else [stash(new, "links")]
+        if n_alive := alive.count():
             with small_batches(docs.sparkSession):
-                found = stash(verified(alive, docs, own, k), "verified")
-            new = found if new is None else new.unionByName(found)
-        if new is None:
-            continue
-        new = stash(new, "links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+                found.append(stash(verified(alive, docs, own, k), "verified", rows=n_alive, a_file=SETS_A_FILE))
+        if found:
+            links = functools.reduce(DataFrame.unionByName, found if links is None else [links, *found])
+            roots = components(links)
     return roots if roots is not None else buckets.limit(0).select(F.col("low").alias("node"), F.col("high").alias("root"))
 
 
 def groups(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for each row of docs (doc_id, text)."""
     sketched = stash(sketches(docs, k), "sketches")
-    roots = stash(link_nodes(docs, sketched, k), "roots")
+    roots = link_nodes(docs, sketched, k)
     rows = sketched.select("doc_id", "text_key", "n_shingles", "node")
     least = labelled(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), roots)
     least = stash(least, "nodes")
