@@ -42,10 +42,10 @@ ROWS_A_FILE = 200_000
 def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, runs once.
 
-    rows: a bound of df's rows, if one is known; a task, and so a file, is then made for each a_file of them at most,
-    where a small table would else become a file for each shuffle partition."""
+    rows: a bound of df's rows, if one is known; there is then a task, and so a file, for each core or each a_file of
+    them, whichever are more, where a small table would else become a file for each shuffle partition."""
     spark = df.sparkSession
-    df = df if rows is None else df.coalesce(max(1, math.ceil(rows / a_file)))
+    df = df if rows is None else df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(rows / a_file)))
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -210,9 +210,9 @@ def surviving(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return two.mapInPandas(run, "a bigint, b bigint")
 
 
-def sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of nodes (n): the texts of one document a node are read again and shingled."""
-    nodes = stash(nodes, "asked")
+def sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """(node, shingles) of nodes (n; at most so many): the texts of one document a node are read again and shingled."""
+    nodes = stash(nodes, "asked", rows=most)
     n = nodes.count()
     likely = may_hold(sketched.select("node", "text_key"), F.col("node"), bitmap_of(nodes, F.col("n"), 24), 24)
     chosen = stash(likely.join(nodes, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("text_key").alias("key")), "chosen", rows=n)
@@ -230,9 +230,9 @@ def sets_of(nodes: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> D
     return stash(found.select("text").mapInArrow(shingle, "node bigint, shingles binary"), "sets", rows=n, a_file=SETS_A_FILE)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) whose full sets are similar."""
-    sets = sets_of(pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct(), docs, sketched, k)
+def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, k: int, n: int) -> DataFrame:
+    """Those of n pairs (a, b) whose full sets are similar."""
+    sets = sets_of(pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct(), docs, sketched, k, 2 * n)
     one = skew_join(pairs, "a", "b", sets.select(F.col("node").alias("node_a"), F.col("shingles").alias("set_a")), "node_a").drop("node_a")
     two = skew_join(one, "b", "a", sets.select(F.col("node").alias("node_b"), F.col("shingles").alias("set_b")), "node_b", sized=pairs).drop("node_b")
 
@@ -363,7 +363,7 @@ def link_nodes(docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
         found = [] if new is None else [stash(new, "links")]
         if n_alive := alive.count():
             with small_batches(docs.sparkSession):
-                found.append(stash(verified(alive, docs, own, k), "verified", rows=n_alive, a_file=SETS_A_FILE))
+                found.append(stash(verified(alive, docs, own, k, n_alive), "verified", rows=n_alive, a_file=SETS_A_FILE))
         if found:
             links = functools.reduce(DataFrame.unionByName, found if links is None else [links, *found])
             roots = components(links)
