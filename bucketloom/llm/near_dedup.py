@@ -51,8 +51,8 @@ BLOCK = 512
 #: Bytes of shingle sets in a block, and in a batch that a Python worker gets.
 BLOCK_BYTES = 32_000_000
 BATCH_BYTES = "8m"
-CACHED_WORDS = 300_000
-RUN_BYTES = 8_000_000
+CACHED_WORDS = 100_000
+RUN_BYTES = 2_000_000
 #: Sets that one task shingles, and pairs of sets that one compares.
 SETS_A_FILE = 5_000
 #: Fixed value: the odd multiplier of Fibonacci hashing, 2**64 / golden ratio.
@@ -183,7 +183,7 @@ def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Full sets can be long, so rows that carry them reach Python in batches of BATCH_BYTES."""
+    """Texts and full sets can be long, so rows that carry them reach Python in batches of BATCH_BYTES."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, BATCH_BYTES)
@@ -372,7 +372,8 @@ def link_nodes(docs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
 
 def groups(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for each row of docs (doc_id, text)."""
-    sketched = stash(sketches(docs, k), "sketches")
+    with small_batches(docs.sparkSession):
+        sketched = stash(sketches(docs, k), "sketches")
     roots = link_nodes(docs, sketched, k)
     rows = sketched.select("doc_id", "text_key", "n_shingles", "node")
     least = labelled(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), roots)
