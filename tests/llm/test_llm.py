@@ -95,6 +95,16 @@ def test_quality(spark, sf):
     assert got.where("base_failed and kept").count() == 0
 
 
+def test_quality_rejects_texts_unlike_all_others(spark):
+    r = random.Random(7)
+    clean = [(k, " ".join(r.choice(W) for _ in range(120)), "en") for k in range(150)]
+    junk = " ".join("".join(r.choice("bcdfghjklmpq#%&") for _ in range(5)) for _ in range(120))
+    copies = [(1000 + k, junk, "en") for k in range(10)]  # they do not vouch for each other
+    got = quality.verdicts(spark.createDataFrame(clean + copies, "doc_id long, text string, lang string")).collect()
+    assert all(r.kept == (r.doc_id < 1000) for r in got)
+    assert min(r.log_ppl for r in got if r.doc_id >= 1000) > 1.5 * max(r.log_ppl for r in got if r.doc_id < 1000)
+
+
 def test_html():
     page = "<body><nav><a href=/>Home</a></nav><div class=ad>Buy, now, all of it</div><article><h1>T &amp; U</h1><p>One, two, three and some more words here.<p>Two<br>x</article><div id=comments><p>I, too, think so, and this is long, long.</div><footer>c</footer>"
     assert html_text.main_text(page) == "T & U\nOne, two, three and some more words here.\nTwo x"
