@@ -1,10 +1,12 @@
 """License scans: a positional rare-token index over licence templates.
 
 The words of all templates form a small fixed vocabulary. Its document frequencies are counted over every document;
-the inverse frequencies then rank, in each file, the licence words it holds. The RARE rarest are looked up in the
-template postings: a hit of a word at place i on a template position p votes for the alignment i - p. At each alignment
-that is voted for, the whole template is compared word by word; the best share of equal words is the template's score.
-A label counts only if one of its mandatory key phrases stands in the text word by word and the score reaches MIN_SCORE.
+the inverse frequencies then rank the words of each template. A template of n words is probed by its rarest words, as many
+as cover n - ceil(MIN_SCORE * n) + 1 of its positions: an alignment with a share of MIN_SCORE equal words must hit one of
+these, so no such alignment is lost, whatever else the file holds. A hit of a probe at place i on a template position p
+votes for the alignment i - p. At each alignment that is voted for, the whole template is compared word by word; the best
+share of equal words is the template's score. A label counts only if a mandatory key phrase of its template stands in the
+text word by word and the score reaches MIN_SCORE; only such templates are probed.
 
 Base labels come from the same postings: each place of the word `license` is checked for the phrase it ends.
 
@@ -37,16 +39,19 @@ TEMPLATES = [
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["terms of the gnu general public license"]),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "bsd license"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd", "bsd license", ["bsd license"]),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["distribute this software for any purpose with or without fee"]),
-    ("cc-by", "licensed under cc by 4 0", ["cc by 4 0", "creative commons attribution 4 0"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa 4 0", "creative commons attribution sharealike"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc 4 0", "creative commons attribution noncommercial"]),
+    ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
+    ("cc-by", "creative commons attribution 4 0", ["creative commons attribution 4 0"]),
+    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
+    ("cc-by-sa", "creative commons attribution sharealike", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
+    ("cc-by-nc", "creative commons attribution noncommercial", ["creative commons attribution noncommercial"]),
     ("cc0", "released under cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
 ]
-RARE = 6
 MIN_SCORE = 0.5
 
 VOCABULARY = sorted({w for _, t, must in TEMPLATES for x in (t, *must) for w in x.split()})
@@ -69,12 +74,28 @@ def idf(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in VOCABULARY}
 
 
-def _postings() -> Column:
+def probes(weights: dict[str, float]) -> list[set[str]]:
+    """For each template its rarest words, enough that an alignment with MIN_SCORE of its words has one of them in place."""
+    out = []
+    for _, text, _ in TEMPLATES:
+        words = text.split()
+        need, chosen = len(words) - math.ceil(MIN_SCORE * len(words)) + 1, set()
+        for w in sorted(set(words), key=lambda w: (-weights[w], w)):
+            if need <= 0:
+                break
+            chosen.add(w)
+            need -= words.count(w)
+        out.append(chosen)
+    return out
+
+
+def _postings(probed: list[set[str]]) -> Column:
     """word -> array of (template, position), as a map literal."""
-    at: dict[str, list[str]] = {}
+    at: dict[str, list[Column]] = {}
     for t, (_, text, _) in enumerate(TEMPLATES):
         for p, w in enumerate(text.split()):
-            at.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")))
+            if w in probed[t]:
+                at.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")))
     return F.create_map(*[x for w, ps in at.items() for x in (F.lit(w), F.array(*ps))])
 
 
@@ -91,7 +112,7 @@ def _candidate(held: Column) -> Column:
 def scan(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """docs (doc_id, text) with words counted, base places and scored labels; one pass after the frequencies."""
     weights = weights if weights is not None else idf(docs)
-    ranked = strings(sorted(VOCABULARY, key=lambda w: (-weights[w], w)))
+    probed = probes(weights)
     place = "array<struct<label:string,at:bigint>>"
 
     t = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("lc"))
@@ -107,15 +128,17 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
         )
 
     indexed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    rarest = F.slice(F.array_intersect(ranked, F.col("held")), 1, RARE)
-    t = t.withColumn("rarest", F.when(F.col("words").isNotNull(), rarest))
-    t = t.withColumn("hits", F.filter(indexed, lambda x: (x["w"] == "license") | F.array_contains(F.col("rarest"), x["w"])))
-    t = t.withColumn("base", F.filter(F.transform(F.filter("hits", lambda x: x["w"] == "license"), lambda x: base_at(x["i"])), lambda x: x.isNotNull()).cast(place))
     t = t.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    held_phrases = [F.when(_phrase_held(F.col("joined"), must), F.lit(k)) for k, (_, _, must) in enumerate(TEMPLATES)]
+    t = t.withColumn("verified", F.array_compact(F.array(*held_phrases)))
+    wanted = F.array_distinct(F.flatten(F.transform("verified", lambda k: F.get(F.array(*[strings(sorted(p)) for p in probed]), k))))
+    t = t.withColumn("probes", wanted)
+    t = t.withColumn("hits", F.filter(indexed, lambda x: (x["w"] == "license") | F.array_contains(F.col("probes"), x["w"])))
+    t = t.withColumn("base", F.filter(F.transform(F.filter("hits", lambda x: x["w"] == "license"), lambda x: base_at(x["i"])), lambda x: x.isNotNull()).cast(place))
 
-    postings = _postings()
+    postings = _postings(probed)
     votes = F.array_distinct(
-        F.flatten(F.transform(F.filter("hits", lambda x: F.array_contains(F.col("rarest"), x["w"])), lambda h: F.transform(postings[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("start")))))
+        F.flatten(F.transform(F.filter("hits", lambda x: F.array_contains(F.col("probes"), x["w"])), lambda h: F.transform(F.filter(postings[h["w"]], lambda p: F.array_contains(F.col("verified"), p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("start")))))
     )
     t = t.withColumn("votes", votes)
     templates = F.array(*[strings(text.split()) for _, text, _ in TEMPLATES])
@@ -127,10 +150,8 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
 
     t = t.withColumn("scored", F.transform("votes", lambda v: F.struct(v["t"].alias("t"), share(v).alias("s"))))
 
-    held_phrases = [F.when(_phrase_held(F.col("joined"), must), F.lit(k)) for k, (_, _, must) in enumerate(TEMPLATES)]
-    t = t.withColumn("verified", F.array_compact(F.array(*held_phrases)))
     names = strings([label for label, _, _ in TEMPLATES])
-    good = F.filter("scored", lambda x: (x["s"] >= MIN_SCORE) & F.array_contains(F.col("verified"), x["t"]))
+    good = F.filter("scored", lambda x: x["s"] >= MIN_SCORE)
     t = t.withColumn("good", good)
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
     own = F.transform("good", lambda x: F.get(names, x["t"]))

@@ -81,6 +81,16 @@ def test_licenses(spark, sf):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_licenses_in_a_file_with_all_templates(spark):
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    every = "\n".join(["any binary", *texts]), ",".join(sorted({x for x, *_ in licenses.TEMPLATES}))
+    rows = [every, ("here the BSD License holds", "bsd"), ("Creative Commons Attribution 4.0", "cc-by"), ("Creative Commons Attribution-ShareAlike", "cc-by-sa"), ("mit", "")]
+    weights = {w: 1 / (1 + k) for k, w in enumerate(licenses.VOCABULARY)}
+    for w in (None, weights):
+        got = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string"), w)
+        assert {r.doc_id: r.labels for r in got.collect()} == {k: x for k, (_, x) in enumerate(rows)}
+
+
 def test_quality(spark, sf):
     want = []
     for i, t, *_ in corpus():
