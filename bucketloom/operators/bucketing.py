@@ -5,34 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bucketloom.functions.hashing import bucket_id
+from bucketloom.functions.hashing import bucket_of
 from bucketloom.functions.sizes import bucket_count, record_size
 from bucketloom.operators.sharding import scattered
 from bucketloom.operators.sizing import shards_by_eps, shards_by_size
-from bucketloom.sources.layout import Manifest, write_directory
+from bucketloom.sources.layout import Manifest, key_list, write_directory
 
 MB = 1 << 20
 
 
+def keyed(df: DataFrame, key: Column, name: str = "join_key") -> DataFrame:
+    """df with the value of a key expression as a column, for the writers."""
+    return df.withColumn(name, key)
+
+
 def _per_bucket(shards: dict[int, int]) -> Column:
     return F.get(F.lit([shards[b] for b in range(len(shards))]), F.col("bucket_id"))
 
 
-def write_fixed(df: DataFrame, key: str, n: int) -> Manifest:
-    return write_directory(df, key, n)
+def write_fixed(df: DataFrame, key: str | list[str], n: int, hasher: str = "murmur3", path: str | None = None) -> Manifest:
+    return write_directory(df, key, n, hasher=hasher, path=path)
 
 
-def write_by_size(df: DataFrame, key: str, target_mb: float = 256, overhead: int = 104) -> Manifest:
+def write_by_size(df: DataFrame, key: str | list[str], target_mb: float = 256, overhead: int = 104, hasher: str = "murmur3", path: str | None = None) -> Manifest:
     """Two small passes (total bytes; bytes a bucket), then one exchange by (bucket, shard)."""
     size, target = record_size(df.schema, overhead), int(target_mb * MB)
     n = bucket_count(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0], target)
-    shards = {r["bucket_id"]: r["shards"] for r in shards_by_size(df, bucket_id(F.col(key), n), size, n, target).collect()}
-    return write_directory(df, key, n, scattered(_per_bucket(shards), *df.columns), shards)
+    shards = {r["bucket_id"]: r["shards"] for r in shards_by_size(df, bucket_of(df.schema, key_list(key), n, hasher), size, n, target).collect()}
+    return write_directory(df, key, n, scattered(_per_bucket(shards), df), shards, hasher, path)
 
 
-def write_by_threshold(df: DataFrame, key: str, eps: float, target_mb: float = 256, overhead: int = 88) -> Manifest:
+def write_by_threshold(df: DataFrame, key: str | list[str], eps: float, target_mb: float = 256, overhead: int = 88, hasher: str = "murmur3", path: str | None = None) -> Manifest:
     target = int(target_mb * MB)
     n = bucket_count(df.agg(F.coalesce(F.sum(record_size(df.schema, overhead)), F.lit(0))).first()[0], target)
-    counts = {r[0]: r[1] for r in df.groupBy(bucket_id(F.col(key), n)).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(bucket_of(df.schema, key_list(key), n, hasher)).count().collect()}
     shards = dict(enumerate(shards_by_eps(counts, n, eps)))
-    return write_directory(df, key, n, scattered(_per_bucket(shards), *df.columns), shards)
+    return write_directory(df, key, n, scattered(_per_bucket(shards), df), shards, hasher, path)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bucketloom.functions.hashing import unsigned_key
+from bucketloom.functions.hashing import encode_typed
 from bucketloom.sources.layout import Manifest, read_directory, write_catalogue
+from bucketloom.sources.pairs import join_pairs
 
 
 def plain_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
@@ -25,12 +27,9 @@ def bucketed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return a.join(b.hint("merge"), a[left_key] == b[right_key], how)
 
 
-def congruent_join(spark, left: Manifest, right: Manifest) -> DataFrame:
-    """Join of two layouts over the gcd of their bucket counts. Skewed keys are left to adaptive splitting."""
-    g = math.gcd(left.num_buckets, right.num_buckets)
-    a = read_directory(spark, left).withColumn("l_bucket", F.pmod("bucket_id", F.lit(g))).drop("bucket_id", "shard_id")
-    b = read_directory(spark, right).withColumn("r_bucket", F.pmod("bucket_id", F.lit(g))).drop("bucket_id", "shard_id")
-    return a.join(b, (a["l_bucket"] == b["r_bucket"]) & (a[left.key] == b[right.key])).drop("l_bucket", "r_bucket")
+def congruent_join(spark: SparkSession, left: Manifest, right: Manifest) -> DataFrame:
+    """Inner join of two layouts of any bucket and shard counts, file by file: neither side is shuffled or sorted again."""
+    return join_pairs(spark, left, right)
 
 
 def resolve_bucketing(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> DataFrame:
@@ -48,17 +47,53 @@ def cogroup(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
     return a.join(b, F.col("key") == F.col("r_key"), "full").withColumn("key", F.coalesce("key", "r_key")).drop("r_key")
 
 
+def cogroup_layouts(spark: SparkSession, left: Manifest, right: Manifest, left_agg: list[Column], right_agg: list[Column]) -> DataFrame:
+    """Co-groups of two layouts. A key's rows can lie in several shards and, with unequal counts, in several pairs of
+    buckets, so groups are made of rows, not of file pairs: files are sorted by key, so each task sums its keys first."""
+    return cogroup(read_directory(spark, left), read_directory(spark, right), left.key, right.key, left_agg, right_agg)
+
+
 def cogroup_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(key, lefts, rights) with whole rows; for keys whose groups fit a task."""
+    """(key, lefts, rights) with whole rows, empty where a side has none; for keys whose groups fit a task."""
     rows = lambda df: F.collect_list(F.struct(*df.columns))
-    return cogroup(left, right, left_key, right_key, [rows(left).alias("lefts")], [rows(right).alias("rights")])
+    c = cogroup(left, right, left_key, right_key, [rows(left).alias("lefts")], [rows(right).alias("rights")])
+    return c.select("key", F.coalesce("lefts", F.array().cast(c.schema["lefts"].dataType)).alias("lefts"), F.coalesce("rights", F.array().cast(c.schema["rights"].dataType)).alias("rights"))
 
 
 def unsorted_rows(layout: DataFrame, key: str) -> DataFrame:
-    """Rows of a read layout that come before their predecessor in their file, by the unsigned order of keys."""
-    t = layout.withColumn("file", F.input_file_name()).withColumn("place", F.monotonically_increasing_id())
-    before = F.lag(unsigned_key(F.col(key))).over(Window.partitionBy("file").orderBy("place"))
-    return t.withColumn("before", before).where(unsigned_key(F.col(key)) < F.col("before"))
+    """(file, violations) of files whose keys fall, by the unsigned order of their bytes, in a layout as it was read.
+
+    Each task compares neighbours where they lie; only the first and last key of each piece of a file meet in a second step."""
+    import pyarrow as pa
+
+    pieces = layout.where(F.col(key).isNotNull()).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), encode_typed(F.col(key), layout.schema[key].dataType).alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        held: dict[tuple[str, int], list] = {}  # the pieces of this task
+        for b in batches:
+            if not b.num_rows:
+                continue
+            file = pc.dictionary_encode(b["file"]).indices.to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero((np.diff(file) != 0) | (np.diff(b["block"].to_numpy(zero_copy_only=False)) != 0)) + 1
+            for at, to in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows], strict=True):
+                k = b["k"].slice(at, to - at)
+                bad = int(pc.sum(pc.less(k[1:], k[:-1])).as_py() or 0)
+                name = (b["file"][at].as_py(), b["block"][at].as_py())
+                if name in held:
+                    first, last, n = held[name]
+                    held[name] = [first, k[-1].as_py(), n + bad + (k[0].as_py() < last)]
+                else:
+                    held[name] = [k[0].as_py(), k[-1].as_py(), bad]
+        rows = [(*name, *v) for name, v in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["file", "block", "low", "high", "n"])
+
+    found = pieces.mapInArrow(run, "file string, block bigint, low binary, high binary, n bigint")
+    across = F.lag("high").over(Window.partitionBy("file").orderBy("block"))
+    told = found.withColumn("n", F.col("n") + F.coalesce((F.col("low") < across).cast("bigint"), F.lit(0)))
+    return told.groupBy("file").agg(F.sum("n").alias("violations")).where("violations > 0")
 
 
 def validate_sorted(layout: DataFrame, key: str) -> None:

@@ -2,7 +2,8 @@
 
 Two layouts: catalogue tables bucketed by Spark's own hash, whose joins need no exchange, and a directory layout
 (bucket_id=/shard_id=, one sorted file a pair, bucket by the seed-0 hash) with a manifest that states the number of
-buckets, so that empty trailing buckets cannot mislead a join.
+buckets, so that empty trailing buckets cannot mislead a join. Each file's footer holds the key and the number of buckets
+too, as metadata of the key column.
 """
 
 from __future__ import annotations
@@ -11,23 +12,36 @@ import json
 import re
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from bucketloom.functions.hashing import bucket_id, encode_key
+from bucketloom.functions.hashing import bucket_of, encode_typed
 from bucketloom.sources.workspace import fresh_path
 
+#: Bytes of a row group: what a reader of two sorted files holds of each.
+ROW_GROUP = 16 << 20
+
 
 @dataclass(frozen=True)
 class Manifest:
     path: str
-    key: str
+    keys: list[str]
     num_buckets: int
     shards: dict[str, int]
     schema: str
+    hasher: str = "murmur3"
+
+    @property
+    def key(self) -> str:
+        return self.keys[0]
+
+    @property
+    def columns(self) -> StructType:
+        return StructType.fromJson(json.loads(self.schema))
 
 
-def file_name(bucket: int, shard: int, suffix: str = "avro") -> str:
+def file_name(bucket: int, shard: int, suffix: str = "parquet") -> str:
     return f"part-b{bucket:05d}-s{shard:05d}.{suffix}"
 
 
@@ -38,38 +52,75 @@ def parse_file_name(name: str) -> tuple[int, int]:
     return int(m[1]), int(m[2])
 
 
+def parsed_names(name: Column) -> tuple[Column, Column]:
+    """(bucket, shard) from a column of file names; null where there is none."""
+    part = lambda i: F.try_element_at(F.regexp_extract_all(name, F.lit(r"part-b(\d{5,})-s(\d{5,})"), F.lit(i)), F.lit(1)).cast("int")
+    return part(1), part(2)
+
+
 def write_catalogue(df: DataFrame, key: str, n: int) -> DataFrame:
-    """One sorted file a bucket; later joins on key read matching buckets with no exchange."""
+    """One sorted file a bucket; later joins on key read matching buckets with no exchange. `drop_catalogue` ends it."""
     path = fresh_path(df.sparkSession, "buckets")
     name = "bl_" + path.rsplit("-", 1)[1]
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
-def write_directory(df: DataFrame, key: str, n: int, shard=None, shards: dict[int, int] | None = None) -> Manifest:
-    """df by (bucket_id, shard_id), sorted by the key's bytes, one file a pair, with a manifest."""
-    spark = df.sparkSession
-    path = fresh_path(spark, "layout")
-    t = df.withColumn("bucket_id", bucket_id(F.col(key), n)).withColumn("shard_id", shard if shard is not None else F.lit(0))
-    t.repartition("bucket_id", "shard_id").sortWithinPartitions("bucket_id", "shard_id", encode_key(F.col(key))).write.partitionBy("bucket_id", "shard_id").parquet(path)
-    m = Manifest(path, key, n, {str(b): s for b, s in (shards or {}).items()}, df.schema.json())
-    spark.createDataFrame([(json.dumps(asdict(m)),)], "value string").coalesce(1).write.text(f"{path}.manifest")
+def drop_catalogue(spark: SparkSession) -> int:
+    """Forget all tables that `write_catalogue` made in this catalogue; their files stay in the shared folder. How many there were."""
+    names = [t.name for t in spark.catalog.listTables() if re.fullmatch(r"bl_[0-9a-f]{32}", t.name)]
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(names)
+
+
+def key_list(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def write_manifest(spark: SparkSession, m: Manifest) -> Manifest:
+    spark.createDataFrame([(json.dumps(asdict(m)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{m.path}.manifest")
     return m
 
 
+def placed(df: DataFrame, keys: list[str], n: int, hasher: str, shard: Column | None) -> DataFrame:
+    """df with bucket_id and shard_id, and the header in the first key column."""
+    header = {"keys": ",".join(keys), "num_buckets": n, "hash": hasher}
+    t = df.withColumn("bucket_id", bucket_of(df.schema, keys, n, hasher)).withColumn("shard_id", shard if shard is not None else F.lit(0))
+    return t.withMetadata(keys[0], header)
+
+
+def sort_key(schema: StructType, keys: list[str]) -> list[Column]:
+    return [encode_typed(F.col(k), schema[k].dataType) for k in keys]
+
+
+def write_directory(df: DataFrame, key: str | list[str], n: int, shard: Column | None = None, shards: dict[int, int] | None = None, hasher: str = "murmur3", path: str | None = None) -> Manifest:
+    """df by (bucket_id, shard_id), sorted by the bytes of its keys, one file a pair, with a manifest."""
+    keys = key_list(key)
+    path = path or fresh_path(df.sparkSession, "layout")
+    t = placed(df, keys, n, hasher, shard).repartition("bucket_id", "shard_id").sortWithinPartitions("bucket_id", "shard_id", *sort_key(df.schema, keys))
+    t.write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket_id", "shard_id").parquet(path)
+    return write_manifest(df.sparkSession, Manifest(path, keys, n, {str(b): s for b, s in (shards or {}).items()}, df.schema.json(), hasher))
+
+
 def read_manifest(spark: SparkSession, path: str) -> Manifest:
     return Manifest(**json.loads(spark.read.text(f"{path}.manifest").first()[0]))
 
 
 def read_directory(spark: SparkSession, m: Manifest) -> DataFrame:
-    from pyspark.sql.types import IntegerType, StructType
-
-    schema = StructType.fromJson(json.loads(m.schema)).add("bucket_id", IntegerType()).add("shard_id", IntegerType())
-    return spark.read.schema(schema).parquet(m.path)
+    return spark.read.schema(m.columns.add("bucket_id", IntegerType()).add("shard_id", IntegerType())).parquet(m.path)
 
 
 def files(spark: SparkSession, m: Manifest) -> DataFrame:
-    """(path, bucket_id, shard_id) of the files that are there."""
+    """(path, bucket_id, shard_id, name) of the files that are there; name is the layout's own name of a file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(m.path).select("path")
     part = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)/", 1).cast("int").alias(name)
-    return found.select("path", part("bucket_id"), part("shard_id"))
+    return found.select("path", part("bucket_id"), part("shard_id")).withColumn("name", F.format_string("part-b%05d-s%05d.parquet", "bucket_id", "shard_id"))
+
+
+def read_header(spark: SparkSession, m: Manifest) -> dict:
+    """What the footers of a layout say of it: keys, num_buckets, hash."""
+    for f in spark.read.parquet(m.path).schema.fields:
+        if "num_buckets" in f.metadata:
+            return dict(f.metadata)
+    raise ValueError(f"no bucket header in the files of {m.path}")

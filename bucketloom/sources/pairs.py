@@ -1,21 +1,26 @@
-"""A Python data source that joins two directory layouts file pair by file pair: one partition a pair, no exchange.
+"""A Python data source that joins two directory layouts without an exchange: one partition a file of the left layout.
 
-Both files of a pair are sorted by key, so each left key finds its run of right rows by binary search; null keys never
-match and are left out at write time by the caller. Files are read with pyarrow, so the layouts must lie in a folder that all executors mount.
+A partition streams its file by row groups against those of the right files in congruent buckets whose key range meets
+it, so it holds one row group of each side whatever the files hold; a hot key's rows meet row group by row group. Keys are
+compared by value, whole (64 bits, text, several columns); null keys never match. Files are opened by pyarrow, which
+reads local, hdfs, s3 and gs paths; for others `join_pairs` falls back on the join of both layouts by Spark.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from bucketloom.sources.layout import Manifest, files
+from bucketloom.sources.layout import Manifest, files, read_directory
+
+#: Joined rows in a batch.
+ROWS_OUT = 1 << 16
 
 
 class PairSource(DataSource):
@@ -27,45 +32,171 @@ class PairSource(DataSource):
         return StructType.fromJson(json.loads(self.options["schema"]))
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return PairReader(self.options, schema)
+        return PairReader(json.loads(self.options["plan"]), schema)
+
+
+class SortedFile:
+    """The row groups of a file, with the range of the first key of each."""
+
+    def __init__(self, path: str, keys: list[str]) -> None:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
+
+        fs, inner = FileSystem.from_uri(path)
+        self.file, self.keys, self.path = pq.ParquetFile(fs.open_input_file(inner)), keys, path
+        at = self.file.schema_arrow.names.index(keys[0])
+        self.ranges = []
+        for g in range(self.file.num_row_groups):
+            s = self.file.metadata.row_group(g).column(at).statistics
+            self.ranges.append((s.min, s.max) if s is not None and s.has_min_max else None)
+        self.group = functools.lru_cache(maxsize=2)(self._group)
+
+    def _group(self, g: int):
+        """Row group g without rows that have a null key."""
+        import pyarrow.compute as pc
+
+        t = self.file.read_row_group(g, use_threads=False)
+        for k in self.keys:
+            t = t.filter(pc.is_valid(t[k]))
+        check_sorted([t[k].combine_chunks() for k in self.keys], self.path)
+        return t
+
+    def meeting(self, of: tuple | None) -> Iterator[int]:
+        for g, own in enumerate(self.ranges):
+            if of is None or own is None or not (own[1] < of[0] or of[1] < own[0]):
+                yield g
+
+
+def comparable(values):
+    """Values in the order of their bytes: unsigned for whole numbers, bytes for text."""
+    import pyarrow as pa
+
+    if pa.types.is_integer(values.type):
+        return pa.array(values.to_numpy(zero_copy_only=False).view({1: "u1", 2: "u2", 4: "u4", 8: "u8"}[values.type.bit_width // 8]))
+    if pa.types.is_date32(values.type):
+        return comparable(values.cast(pa.int32()))
+    return values.cast(pa.binary()) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else values
+
+
+def check_sorted(keys: list, path: str) -> None:
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if len(keys[0]) < 2:
+        return
+    bad, same = np.zeros(len(keys[0]) - 1, bool), np.ones(len(keys[0]) - 1, bool)
+    for k in map(comparable, keys):
+        a, b = k[:-1], k[1:]
+        bad |= same & pc.less(b, a).to_numpy(zero_copy_only=False)
+        same &= pc.equal(a, b).to_numpy(zero_copy_only=False)
+    if bad.any():
+        raise ValueError(f"Data is not sorted: {path}")
+
+
+def codes(left, right, l_keys: list[str], r_keys: list[str]):
+    """Numbers for the rows of both tables that are equal just where all keys are."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = np.zeros(len(left) + len(right), "int64")
+    for a, b in zip(l_keys, r_keys, strict=True):
+        both = pa.chunked_array([*left[a].chunks, *right[b].cast(left[a].type).chunks], left[a].type).combine_chunks()
+        if len(l_keys) == 1 and pa.types.is_integer(both.type):
+            out = both.to_numpy(zero_copy_only=False).astype("int64")
+            continue
+        found = both.dictionary_encode()
+        found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+        out = np.unique(out * (len(found.dictionary) + 1) + found.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return out[: len(left)], out[len(left) :]
 
 
 class PairReader(DataSourceReader):
-    def __init__(self, options, schema: StructType) -> None:
-        self.pairs, self.on = json.loads(options["pairs"]), (options["left_key"], options["right_key"])
-        self.names = schema.names
+    def __init__(self, plan: dict, schema: StructType) -> None:
+        self.plan, self.schema = plan, schema
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.pairs] or [InputPartition(None)]
+        return [InputPartition(x) for x in self.plan["left"]] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator:
         if partition.value is None:
             return
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        path, group = partition.value
+        plan, target = self.plan, to_arrow_schema(self.schema)
+        left = SortedFile(path, plan["left_keys"])
+        rights = [SortedFile(p, plan["right_keys"]) for p in plan["right"][group]]
+        for g, reach in enumerate(left.ranges):
+            for right in rights:
+                for h in right.meeting(reach):
+                    yield from self.joined(left.group(g), right.group(h), target)
+
+    def joined(self, a, b, target) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import pyarrow.parquet as pq
 
-        left, right = (pq.ParquetFile(p).read(use_threads=False) for p in partition.value)
-        l_key, r_key = (t[k].to_numpy().astype("int64") & 0xFFFFFFFF for t, k in zip((left, right), self.on, strict=True))
-        if (np.diff(l_key) < 0).any() or (np.diff(r_key) < 0).any():
-            raise ValueError("Data is not sorted")
-        first, end = np.searchsorted(r_key, l_key, "left"), np.searchsorted(r_key, l_key, "right")
-        n = end - first
-        at = np.repeat(np.arange(len(l_key)), n)
-        to = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        joined = pa.table({**{c: left[c].take(pa.array(at)) for c in left.column_names}, **{c: right[c].take(pa.array(to)) for c in right.column_names}})
-        yield from joined.select(self.names).to_batches()
+        plan = self.plan
+        x, y = codes(a, b, plan["left_keys"], plan["right_keys"])
+        order = np.argsort(y, kind="stable")
+        y = y[order]
+        first = np.searchsorted(y, x, "left")
+        n = np.searchsorted(y, x, "right") - first
+        ends = np.cumsum(n)
+        for begin in range(0, int(ends[-1]) if len(ends) else 0, ROWS_OUT):
+            out = np.arange(begin, min(begin + ROWS_OUT, int(ends[-1])))
+            at = np.searchsorted(ends, out, "right")
+            to = order[first[at] + out - (ends[at] - n[at])]
+            columns = [a[c].take(pa.array(at)) for c in plan["left_columns"]] + [b[c].take(pa.array(to)) for c in plan["right_columns"]]
+            yield from pa.table([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target).to_batches()
+
+
+def joined_schema(left: Manifest, right: Manifest) -> StructType:
+    """Both sides' columns; a right one that clashes gets the prefix r_."""
+    a, b = left.columns.fields, right.columns.fields
+    taken = {f.name for f in a}
+    return StructType([*a, *[StructField("r_" + f.name if f.name in taken else f.name, f.dataType, f.nullable) for f in b]])
+
+
+def check_alike(left: Manifest, right: Manifest) -> None:
+    """Layouts whose buckets can be matched: the same hash over keys of the same types."""
+    kinds = [[m.columns[k].dataType for k in m.keys] for m in (left, right)]
+    if kinds[0] != kinds[1] or left.hasher != right.hasher:
+        raise ValueError(f"layouts do not match: {left.keys} by {left.hasher} and {right.keys} by {right.hasher}, of types {kinds}")
+
+
+def reachable(path: str) -> bool:
+    from urllib.parse import urlparse
+
+    return urlparse(path).scheme in ("", "file", "hdfs", "s3", "s3a", "gs")
 
 
 def join_pairs(spark: SparkSession, left: Manifest, right: Manifest) -> DataFrame:
-    """Inner join of two layouts whose column names differ; pairs are congruent modulo the gcd of the bucket counts."""
+    """Inner join of two layouts, whatever their bucket and shard counts: buckets congruent modulo the gcd of the counts
+    meet, each left shard with each right shard. The driver sees file names, never pairs."""
+    check_alike(left, right)
+    if not (reachable(left.path) and reachable(right.path)):
+        return by_exchange(spark, left, right)
     g = math.gcd(left.num_buckets, right.num_buckets)
-    local = lambda p: urlparse(p).path
-    l_files, r_files = (files(spark, m).collect() for m in (left, right))
-    by: dict[int, list[str]] = {}
-    for f in r_files:
-        by.setdefault(f["bucket_id"] % g, []).append(local(f["path"]))
-    pairs = [(local(f["path"]), p) for f in l_files for p in by.get(f["bucket_id"] % g, [])]
-    schema = StructType([*StructType.fromJson(json.loads(left.schema)).fields, *StructType.fromJson(json.loads(right.schema)).fields])
+    l_files, r_files = ([(f["path"], f["bucket_id"] % g) for f in files(spark, m).collect()] for m in (left, right))
+
+    def local(path: str) -> str:
+        return "file://" + path.removeprefix("file:").replace("///", "/") if path.startswith(("file:", "/")) else path.replace("s3a://", "s3://", 1)
+
+    right_of: dict[str, list[str]] = {}
+    for p, c in r_files:
+        right_of.setdefault(str(c), []).append(local(p))
+    plan = {
+        "left": [(local(p), str(c)) for p, c in l_files if str(c) in right_of], "right": right_of, 
+        "left_keys": left.keys, "right_keys": right.keys, "left_columns": left.columns.names, "right_columns": right.columns.names,
+    }
     spark.dataSource.register(PairSource)
-    return spark.read.format("bucketloom_pairs").options(pairs=json.dumps(pairs), schema=schema.json(), left_key=left.key, right_key=right.key).load()
+    return spark.read.format("bucketloom_pairs").options(plan=json.dumps(plan), schema=joined_schema(left, right).json()).load()
+
+
+def by_exchange(spark: SparkSession, left: Manifest, right: Manifest) -> DataFrame:
+    """The same rows by Spark's own join of the two layouts, which shuffles them."""
+    names = joined_schema(left, right).names
+    a = read_directory(spark, left).drop("bucket_id", "shard_id").toDF(*names[: len(left.columns)])
+    b = read_directory(spark, right).drop("bucket_id", "shard_id").toDF(*names[len(left.columns) :])
+    of = dict(zip(right.columns.names, b.columns, strict=True))
+    return a.join(b, functools.reduce(lambda x, y: x & y, [a[k] == b[of[j]] for k, j in zip(left.keys, right.keys, strict=True)]))
