@@ -10,8 +10,11 @@ text word by word and the score reaches MIN_SCORE; only such templates are probe
 
 Base labels come from the same postings: each place of the word `license` is checked for the phrase it ends.
 
-Defined results: null text is empty: no words, empty labels, score 0, null places; repeated rows and null ids give a
-row each; extra columns are ignored.
+Alignments are packed into one number each, so distinct ones are found by hashing: a text takes time in proportion to
+its length.
+
+Defined results: null text is empty: no words, empty labels, score 0, null places; texts of any length are scanned whole;
+repeated rows and null ids give a row each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,9 +54,20 @@ TEMPLATES = [
     ("cc-by-nc", "creative commons attribution noncommercial", ["creative commons attribution noncommercial"]),
     ("cc0", "released under cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies"]),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["agreed to in writing software distributed under the license"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["see the gnu general public license for more details"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable for any damages"]),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy of the software"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ["changing it is allowed as long as the name is changed"]),
 ]
 MIN_SCORE = 0.5
 
+#: Words of the longest template, and how far apart the templates' alignments are when they are packed.
+MOST_WORDS, SPAN = max(len(t.split()) for _, t, _ in TEMPLATES), 1 << 40
+
 VOCABULARY = sorted({w for _, t, must in TEMPLATES for x in (t, *must) for w in x.split()})
 
 
@@ -137,18 +151,27 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     t = t.withColumn("base", F.filter(F.transform(F.filter("hits", lambda x: x["w"] == "license"), lambda x: base_at(x["i"])), lambda x: x.isNotNull()).cast(place))
 
     postings = _postings(probed)
-    votes = F.array_distinct(
-        F.flatten(F.transform(F.filter("hits", lambda x: F.array_contains(F.col("probes"), x["w"])), lambda h: F.transform(F.filter(postings[h["w"]], lambda p: F.array_contains(F.col("verified"), p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("start")))))
-    )
+    def alignments(h: Column) -> Column:
+        own = F.filter(postings[h["w"]], lambda p: F.array_contains(F.col("verified"), p["t"]))
+        return F.transform(own, lambda p: p["t"].cast("bigint") * SPAN + (h["i"] - p["p"] + MOST_WORDS).cast("bigint"))
+
+    votes = F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda x: F.array_contains(F.col("probes"), x["w"])), alignments)))
     t = t.withColumn("votes", votes)
     templates = F.array(*[strings(text.split()) for _, text, _ in TEMPLATES])
 
     def share(v: Column) -> Column:
-        words = F.get(templates, v["t"])
-        same = F.size(F.filter(F.transform(words, lambda w, j: F.struct(w.alias("w"), j.alias("j"))), lambda x: F.when(v["start"] + x["j"] >= 0, F.get(F.col("words"), v["start"] + x["j"])) == x["w"]))
-        return same / F.size(words)
-
-    t = t.withColumn("scored", F.transform("votes", lambda v: F.struct(v["t"].alias("t"), share(v).alias("s"))))
+        """(template, share of equal words) of an alignment."""
+        k = F.floor(v / SPAN).cast("int")
+        start = (v % SPAN).cast("int") - MOST_WORDS
+        near = F.slice(F.col("words"), F.greatest(start + 1, F.lit(1)), F.lit(MOST_WORDS))
+        early = F.greatest(-start, F.lit(0))  # words of the template that would stand before the text
+        def compare(x: Column) -> Column:
+            same = F.size(F.filter(F.transform(x["own"], lambda w, j: F.when(j >= x["early"], F.get(x["near"], j - x["early"])) == w), lambda e: e))
+            return F.struct(x["t"].alias("t"), (same / F.size(x["own"])).alias("s"))
+        bound = F.array(F.struct(k.alias("t"), F.get(templates, k).alias("own"), near.alias("near"), early.alias("early")))
+        return F.get(F.transform(bound, compare), F.lit(0))
+
+    t = t.withColumn("scored", F.transform("votes", share))
 
     names = strings([label for label, _, _ in TEMPLATES])
     good = F.filter("scored", lambda x: x["s"] >= MIN_SCORE)
@@ -171,3 +194,28 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def oracle() -> str:
+    """All words of all templates, not rare ones, are looked up, so nothing of the index decides the rows."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({k}, {text(label)}, {text(words)})" for k, (label, words, _) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"({k}, {text(p)})" for k, (_, _, must) in enumerate(TEMPLATES) for p in must)
+    base = ", ".join(f"({text(p)}, {text(label)})" for p, label in BASE.items())
+    return f"""WITH t AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+j AS (SELECT d, words, ' ' || array_to_string(words, ' ') || ' ' AS joined FROM t),
+templates(k, label, body) AS (VALUES {templates}), must(k, phrase) AS (VALUES {phrases}), phrases(phrase, label) AS (VALUES {base}),
+spot AS (SELECT d, i - 1 AS i, words[i] AS w, words FROM (SELECT d, words, unnest(range(1, len(words) + 1)) AS i FROM t)),
+base AS (SELECT d, i, label FROM spot, phrases WHERE w = split_part(phrase, ' ', 1) AND array_to_string(words[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
+places AS (SELECT d, count(*) AS n, min(i) AS low, max(i) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY d),
+held AS (SELECT DISTINCT d, k FROM j, must WHERE contains(joined, ' ' || phrase || ' ')),
+posting AS (SELECT k, p - 1 AS p, own[p] AS w, len(own) AS n FROM (SELECT k, own, unnest(range(1, len(own) + 1)) AS p FROM (SELECT k, string_split(body, ' ') AS own FROM templates))),
+share AS (SELECT d, k, i - p AS start, count(*) / n AS s FROM held JOIN posting USING (k) JOIN spot USING (d, w) GROUP BY d, k, start, n),
+good AS (SELECT d, label, s FROM share JOIN templates USING (k) WHERE s >= {MIN_SCORE}),
+best AS (SELECT d, max(s) AS score FROM good GROUP BY d),
+labels AS (SELECT d, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT d, label FROM good UNION SELECT d, label FROM base) GROUP BY d)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(places.labels, '') AS base_labels, coalesce(labels.labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM t LEFT JOIN places USING (d) LEFT JOIN best USING (d) LEFT JOIN labels USING (d)"""
+
+
+ORACLE_OP2 = oracle()

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE_OP7}
+ORACLES = {"op2_license_scan": licenses.ORACLE_OP2, "op7_exact_dedup": exact_dedup.ORACLE_OP7, "op8_secret_scan": secrets.ORACLE_OP8}
