@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +29,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor reaches; a fresh local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which every executor reaches. A local master does without: its executor has
+    the driver's disk, so a fresh local folder serves."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="bucketloom-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -68,37 +74,58 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
-def row_numbers(df: DataFrame, keys: list[str], out: str, buckets: int = 4096) -> tuple[DataFrame, int]:
+def out_of_the_way(df: DataFrame, names: list[str]) -> DataFrame:
+    """df whose columns of these names, which an operator gives to its own, are called input_<name> instead."""
+    taken = {c.lower() for c in (*df.columns, *names)}
+    out = []
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"input_{c}"
+            while new.lower() in taken:
+                new = f"input_{new}"
+            taken.add(new.lower())
+            out.append(new)
+        else:
+            out.append(c)
+    return df.toDF(*out)
+
+
+#: Tables of so many narrow rows at most are broadcast (some 30 MB); their rows are counted first.
+BROADCAST_ROWS = 500_000
+#: Rows that one task numbers, within these bounds a 256th of all.
+LEAST_NUMBERED, MOST_NUMBERED = 2_000, 1_000_000
+
+
+def a_bucket(total: int) -> int:
+    """How many rows a numbering bucket holds on average."""
+    return min(MOST_NUMBERED, max(LEAST_NUMBERED, total // 256))
+
+
+def row_numbers(df: DataFrame, keys: list[str], out: str) -> tuple[DataFrame, int]:
     """Gapless global row numbers from 0 and the number of rows.
 
-    The order is (hash bucket of the keys, keys), so it depends on the rows alone, never on partitions. Each
-    bucket is numbered by itself and shifted by the counts before it: the driver sees one count a bucket.
-    """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    counts = {r[0]: r[1] for r in df.groupBy(bucket.alias("b")).count().collect()}
-    starts, total = [], 0
-    for b in range(buckets):
-        starts.append(total)
-        total += counts.get(b, 0)
-    w = Window.partitionBy("__bl_bucket").orderBy(*keys)
-    numbered = df.withColumn("__bl_bucket", bucket).withColumn("__bl_rank", F.row_number().over(w))
-    start = F.get(F.lit(starts).cast("array<bigint>"), F.col("__bl_bucket"))
-    return numbered.withColumn(out, start + F.col("__bl_rank") - 1).drop("__bl_bucket", "__bl_rank"), total
-
-
-def group_ranks(df: DataFrame, group: str, keys: list[str], out: str, buckets: int = 256, max_rows: int = 200_000) -> DataFrame:
-    """Gapless ranks from 0 inside each group, in the order (hash bucket of the keys, keys); a hot group is numbered by many tasks."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    t = df.withColumn("__bl_bucket", bucket)
+    The order is (hash bucket of the keys, keys), so it depends on the rows alone, never on partitions. The number of
+    buckets follows the rows, each is numbered by itself and shifted by the counts before it, which stay in a table."""
+    total = df.count()
+    numbered = group_ranks(df.withColumn("__bl_one", F.lit(0)), "__bl_one", keys, out, total)
+    return numbered.drop("__bl_one"), total
+
+
+def group_ranks(df: DataFrame, group: str, keys: list[str], out: str, total: int | None = None) -> DataFrame:
+    """Gapless ranks from 0 inside each group, in the order (hash bucket of the keys, keys). A group has a bucket for
+    each `a_bucket` of its rows, so a hot group is numbered by many tasks."""
+    total = df.count() if total is None else total
+    sizes = stash(df.groupBy(F.col(group).alias("__bl_g")).agg(F.ceil(F.count(F.lit(1)) / a_bucket(total)).cast("int").alias("__bl_buckets")), "group-sizes")
+    many = sizes.where("__bl_buckets > 1")  # a 256th of all rows or more each, or of LEAST_NUMBERED rows: a bounded table
+    t = df.join(F.broadcast(many), F.col(group).eqNullSafe(F.col("__bl_g")), "left").drop("__bl_g")
+    t = t.withColumn("__bl_bucket", F.pmod(F.xxhash64(*keys), F.coalesce("__bl_buckets", F.lit(1))).cast("int")).drop("__bl_buckets")
     counts = t.groupBy(F.col(group).alias("__bl_group"), F.col("__bl_bucket").alias("__bl_b")).agg(F.count(F.lit(1)).alias("__bl_n"))
     before = Window.partitionBy("__bl_group").orderBy("__bl_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stash(counts.withColumn("__bl_start", F.coalesce(F.sum("__bl_n").over(before), F.lit(0))).drop("__bl_n"), "starts")
-    starts, _ = checked_broadcast(starts, max_rows)
+    starts = counts.withColumn("__bl_start", F.coalesce(F.sum("__bl_n").over(before), F.lit(0))).where("__bl_b > 0").drop("__bl_n")
+    starts, _ = checked_broadcast(stash(starts, "starts"), BROADCAST_ROWS)
     w = Window.partitionBy(group, "__bl_bucket").orderBy(*keys)
-    ranked = t.withColumn("__bl_rank", F.row_number().over(w)).join(
-        starts, F.col(group).eqNullSafe(F.col("__bl_group")) & (F.col("__bl_bucket") == F.col("__bl_b"))
-    )
-    return ranked.withColumn(out, F.col("__bl_start") + F.col("__bl_rank") - 1).drop("__bl_bucket", "__bl_rank", "__bl_group", "__bl_b", "__bl_start")
+    ranked = t.withColumn("__bl_rank", F.row_number().over(w)).join(starts, F.col(group).eqNullSafe(F.col("__bl_group")) & (F.col("__bl_bucket") == F.col("__bl_b")), "left")
+    return ranked.withColumn(out, F.coalesce("__bl_start", F.lit(0)) + F.col("__bl_rank") - 1).drop("__bl_bucket", "__bl_rank", "__bl_group", "__bl_b", "__bl_start")
 
 
 def bit_position(key: Column, bits: int) -> Column:
@@ -129,23 +156,64 @@ def may_hold(df: DataFrame, key: Column, blocks: DataFrame, bits: int) -> DataFr
     return _with_blocks(df, key, blocks, bits, "inner").where(_bit_is_set(key, bits)).drop("__bl_block", "__bl_bitmap")
 
 
-def drop_listed(rows: DataFrame, listed: DataFrame, listed_on: list[str], rows_on: list[str], listed_key: Column, rows_key: Column, max_rows: int = 200_000, bits: int = 24) -> DataFrame:
-    """rows that are not listed (null-safe). A short list is broadcast; with a long one only the rows that pass its
-    fixed-size filter are shuffled, all others go straight through."""
+#: Bits of the largest filter that is broadcast (16 MB); beyond it rows go to the join unfiltered.
+MOST_BITS = 27
+
+
+def filter_bits(n: int) -> int | None:
+    """Bits of a filter for n keys, 32 or more a key; None if it would let most keys pass."""
+    bits = max(16, (max(1, n) * 32 - 1).bit_length())
+    return bits if bits <= MOST_BITS else MOST_BITS if n < 1 << (MOST_BITS - 1) else None
+
+
+def filtered(df: DataFrame, key: Column, listed: DataFrame, listed_key: Column, n: int) -> DataFrame:
+    """Rows of df whose key may be among the n keys of listed."""
+    bits = filter_bits(n)
+    return df if bits is None else may_hold(df, key, bitmap_of(listed, listed_key, bits), bits)
+
+
+def lookup(df: DataFrame, key: str, listed: DataFrame, listed_key: str, n: int, spread: str) -> DataFrame:
+    """Inner join of df with listed, which has n rows, one a key. A list of BROADCAST_ROWS or fewer is broadcast and df
+    stays where it is; with a longer one df is filtered first, and hot keys are salted by `spread`."""
+    if n <= BROADCAST_ROWS:
+        return df.join(F.broadcast(listed), F.col(key) == F.col(listed_key))
+    return skew_join(filtered(df, F.col(key), listed, F.col(listed_key), n), key, spread, listed, listed_key)
+
+
+def equal_columns(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
+
+
+def flagged(rows: DataFrame, listed: DataFrame, listed_on: list[str], rows_on: list[str], listed_key: Column, rows_key: Column) -> DataFrame:
+    """rows with __bl_listed: whether their columns are in listed (null-safe), which has a row a key. A short list is
+    broadcast; with a long one only the rows that pass its filter are shuffled, all others go straight through."""
     names = [f"__bl_l{i}" for i in range(len(listed_on))]
-    small = listed.limit(max_rows + 1).count() <= max_rows
-    found = listed.select(*[F.col(c).alias(n) for c, n in zip(listed_on, names, strict=True)])
-    same = None
-    for c, n in zip(rows_on, names, strict=True):
-        one = F.col(c).eqNullSafe(F.col(n))
-        same = one if same is None else same & one
-    if small:
-        return rows.join(F.broadcast(found), same, "left_anti")
+    n = listed.count()
+    found = listed.select(*[F.col(c).alias(x) for c, x in zip(listed_on, names, strict=True)], F.lit(True).alias("__bl_found"))
+    same = equal_columns(rows_on, names)
+    told = lambda t: t.withColumn("__bl_listed", F.col("__bl_found").isNotNull()).drop("__bl_found", *names)
+    if n <= BROADCAST_ROWS:
+        return told(rows.join(F.broadcast(found), same, "left"))
+    bits = filter_bits(n)
+    if bits is None:
+        return told(rows.join(found, same, "left"))
     blocks = stash(bitmap_of(listed, listed_key, bits), "filter")
     marked = _with_blocks(rows, rows_key, blocks, bits, "left").withColumn("__bl_maybe", F.coalesce(_bit_is_set(rows_key, bits), F.lit(False))).drop("__bl_block", "__bl_bitmap")
-    through = marked.where(~F.col("__bl_maybe"))
-    checked = marked.where(F.col("__bl_maybe")).join(found, same, "left_anti")
-    return through.unionByName(checked).drop("__bl_maybe")
+    through = marked.where(~F.col("__bl_maybe")).drop("__bl_maybe").withColumn("__bl_listed", F.lit(False))
+    return through.unionByName(told(marked.where(F.col("__bl_maybe")).drop("__bl_maybe").join(found, same, "left")))
+
+
+def drop_listed(rows: DataFrame, listed: DataFrame, listed_on: list[str], rows_on: list[str], listed_key: Column, rows_key: Column) -> DataFrame:
+    """rows that are not listed (null-safe)."""
+    return flagged(rows, listed, listed_on, rows_on, listed_key, rows_key).where(~F.col("__bl_listed")).drop("__bl_listed")
+
+
+def one_of_listed(rows: DataFrame, listed: DataFrame, listed_on: list[str], rows_on: list[str], listed_key: Column, rows_key: Column) -> DataFrame:
+    """rows, of which those that are listed are brought down to one for each of their keys; map tasks do most of it."""
+    marked = flagged(rows, listed, listed_on, rows_on, listed_key, rows_key)
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    once = marked.where(F.col("__bl_listed")).groupBy(*[F.col(c).alias(f"__bl_k{i}") for i, c in enumerate(rows_on)]).agg(F.first(whole).alias("__bl_row")).select("__bl_row.*")
+    return marked.where(~F.col("__bl_listed")).drop("__bl_listed").unionByName(once)
 
 
 #: A key with fewer rows than this is nobody's burden.
@@ -168,6 +236,14 @@ def skew_join(left: DataFrame, on: str, spread: str, right: DataFrame, right_on:
     return a.join(b, (F.col(on) == F.col(right_on)) & (F.col("__bl_salt") == F.col("__bl_salt_r"))).drop("__bl_salt", "__bl_salt_r")
 
 
+def _pointed(df: DataFrame, on: str, spread: str, pointers: DataFrame, n: int, sized: DataFrame | None = None) -> DataFrame:
+    """df with the root (p_root) of its column `on` among n pointers."""
+    to = pointers.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))
+    if n <= BROADCAST_ROWS:
+        return df.join(F.broadcast(to), F.col(on) == F.col("p_node")).drop("p_node")
+    return skew_join(df, on, spread, to, "p_node", sized).drop("p_node")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b), root the smallest node of its component.
 
@@ -182,16 +258,50 @@ def components(links: DataFrame) -> DataFrame:
         most = most or 2 * n
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "pointers", rows=2 * n)
-        to = up.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))
-        up = stash(skew_join(up, "root", "node", to, "p_node").select("node", F.col("p_root").alias("root")), "pointers", rows=2 * n)
-        to = up.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))
+        up = stash(_pointed(up, "root", "node", up, 2 * n).select("node", F.col("p_root").alias("root")), "pointers", rows=2 * n)
         if first:
             roots, first = up, False
         else:
-            known = up.select(F.col("node").alias("k"))
-            moved = skew_join(roots, "root", "node", to, "p_node").select("node", F.col("p_root").alias("root"))
-            roots = stash(moved.unionByName(roots.join(known, F.col("root") == F.col("k"), "left_anti")), "roots", rows=most)
-        one = skew_join(edges, "a", "b", to, "p_node").select(F.col("p_root").alias("a"), "b")
-        two = skew_join(one, "b", "a", to, "p_node", sized=edges).select("a", F.col("p_root").alias("b"))
+            moved = roots.join(F.broadcast(up.select(F.col("node").alias("p_node"), F.col("root").alias("p_root"))), F.col("root") == F.col("p_node"), "left") if 2 * n <= BROADCAST_ROWS else None
+            if moved is not None:
+                moved = moved.select("node", F.coalesce("p_root", "root").alias("root"))
+            else:
+                known = up.select(F.col("node").alias("k"))
+                moved = _pointed(roots, "root", "node", up, 2 * n).select("node", F.col("p_root").alias("root")).unionByName(roots.join(known, F.col("root") == F.col("k"), "left_anti"))
+            roots = stash(moved, "roots", rows=most)
+        one = _pointed(edges, "a", "b", up, 2 * n).select(F.col("p_root").alias("a"), "b")
+        two = _pointed(one, "b", "a", up, 2 * n, sized=edges).select("a", F.col("p_root").alias("b"))
         edges = stash(two.where("a <> b").distinct(), "edges", rows=n)
     return roots
+
+
+#: Bytes of rows in a batch that a Python worker gets.
+BATCH_BYTES = "4m"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts and sets can be long, so what runs here gives rows that carry them to Python in batches of BATCH_BYTES: the
+    executor and the worker hold a batch or two each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, so what one task freed would count in the next."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

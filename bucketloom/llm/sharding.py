@@ -7,7 +7,8 @@ gaps, and anyone who knows (n, seed) can compute both ways where a row lies.
 
 Defined results: null texts count as empty (size 8, CRC 0); null and repeated ids are rows like any other, ordered by
 (doc_id, CRC, size); fully equal rows share the places that are theirs in any order; an empty table gives no rows;
-extra columns are ignored by the query and kept by `shard`.
+extra columns are ignored by the query and kept by `shard`, those named row_number, shard or slot as input_row_number and
+so on; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketloom.llm.common import documents, row_numbers, stash
+from bucketloom.llm.common import documents, out_of_the_way, row_numbers, stash
 
 ROUNDS = 6
 #: Steps of the inlined walk. A step is needed with probability under 1 / sqrt(n); a row that needs more fails loudly.
@@ -54,9 +55,11 @@ def permuted(x: Column, n: int, seed: int) -> Column:
     return F.when(once < limit, once).when(walked < limit, walked).otherwise(F.raise_error(F.lit("cycle walk too long: choose another seed")))
 
 
-def shard(rows: DataFrame, keys: list[str], n_shards: int, seed: int = 20_24, buckets: int = 4096) -> DataFrame:
+def shard(rows: DataFrame, keys: list[str], n_shards: int, seed: int = 20_24) -> DataFrame:
     """rows with row_number, shard and slot. keys give the reproducible order; they should tell rows apart."""
-    numbered, n = row_numbers(rows, keys, "row_number", buckets)
+    moved = out_of_the_way(rows, ["row_number", "shard", "slot"])
+    keys = [moved.columns[rows.columns.index(k)] for k in keys]
+    numbered, n = row_numbers(moved, keys, "row_number")
     return (
         numbered.withColumn("__bl_p", permuted(F.col("row_number"), n, seed))
         .withColumn("shard", (F.col("__bl_p") % n_shards).cast("int"))
