@@ -1,22 +1,27 @@
-"""Line dedup: a segment-partition edit join for lines within THRESHOLD edits of each other.
+"""Line dedup: exact repeats of every line, and a segment-partition edit join for lines within THRESHOLD edits of each other.
 
-Lines (trimmed, MIN_CHARS characters or more) are first made distinct. A line of length n is split into
-THRESHOLD + 1 = 2 segments; one edit leaves one of them whole, so the index holds both segments of each length, and a line
-probes the index of its own length and of the next shorter one with its substrings that align from the start or the end.
-Lines that share no entry are done, without their text having been moved.
+Lines are trimmed; blank ones are left alone. They are first made distinct by a hash; a second hash finds lines that
+share the first, which then get hashes of their own. Lines shorter than MIN_CHARS, of which one edit changes much, have no
+neighbours but their exact repeats. A longer line of length n is split into THRESHOLD + 1 = 2 segments; one edit leaves one of
+them whole, so the index holds both segments of each length, and a line probes the index of its own length and of the
+next shorter one with its substrings that align from the start or the end. Lines that share no entry are done, without
+their text having been moved.
 
 Lines that do share one are split finer, into FINE segments of which all but one must be whole (the same argument), by
 the keys of a line without one segment. In the buckets of these keys lines differ inside one short window only. Small
-buckets are verified pair by pair with a banded bit-parallel edit distance: an automaton whose states are bits around
-the diagonal. Buckets over SMALL lines go down to single characters: lines alike but for one place form a class by
-their common key, and a line with one character less is found by its own hash. So no bucket is expanded into all its pairs,
-and no pair within one edit is lost.
+buckets are taken pair by pair. Buckets over SMALL lines go down to single characters: lines alike but for one place share
+a key, and each is paired with the first of them; a line with one character less is found by its own hash. So no
+bucket is expanded into all its pairs, and no pair within one edit is lost. Every pair, from either way, becomes a link
+only by a banded bit-parallel edit distance: an automaton whose states are bits around the diagonal.
+
+THRESHOLD is 1 for all lengths: the splits, the single-character keys and the automaton are made for one edit.
 
 Classes are connected components. The first line of a class (smallest doc_id, then line number) stays, all others are
 dropped; with null ids last.
 
-Defined results: null text has no lines; lines shorter than MIN_CHARS are left alone; repeated rows with the same id and
-text are one document and get the same answer; an empty table gives no rows; extra columns are ignored by the query.
+Defined results: null text has no lines; lines of any length are taken whole; repeated rows with the same id and
+text are one document and get the same answer; an empty table gives no rows; extra columns are ignored by the query and
+kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketloom.llm.common import bitmap_of, components, documents, may_hold, skew_join, stash
+from bucketloom.llm.common import components, documents, filtered, skew_join, stash
 
 THRESHOLD = 1
 MIN_CHARS = 20
@@ -37,13 +42,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, text_key, line_no, line."""
     key = F.xxhash64("text").alias("text_key")
     each = docs.select("doc_id", key, F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("doc_id", "text_key", "line_no", F.trim("raw").alias("line"))
-    return each.where(F.char_length("line") >= MIN_CHARS)
+    return each.where(F.col("line") != "")
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(line, F.lit("line"))
 
 
+def second_hash(line: Column) -> Column:
+    return F.xxhash64(F.lit("again"), line)
+
+
+def apart(t: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """t (h, again) where lines that share a hash have hashes of their own."""
+    if clashes is None:
+        return t
+    t = t.join(F.broadcast(clashes), F.col("h") == F.col("x_h"), "left")
+    return t.withColumn("h", F.when(F.col("x_h").isNotNull(), F.xxhash64("h", "again")).otherwise(F.col("h"))).drop("x_h")
+
+
 def segment_keys(line: Column, n: Column) -> Column:
     """Entries of the two segments in the index of length n, and probes of length n - 1: from the start, from the end."""
     def at(length: Column) -> list[Column]:
@@ -100,14 +117,24 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select(F.col("key").alias("k_key"), "low", "n")
 
 
-def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line hashes whose lines are within THRESHOLD edits; found has (t_h, line)."""
+    one = skew_join(pairs, "a", "b", found, "t_h").select("a", "b", F.col("line").alias("line_a"))
+    two = skew_join(one, "b", "a", found, "t_h", sized=pairs).select("a", "b", "line_a", F.col("line").alias("line_b"))
+    return two.where(within_one(F.col("line_a"), F.col("line_b"))).select("a", "b")
+
+
+def links(distinct: DataFrame, docs: DataFrame, clashes: DataFrame | None = None) -> DataFrame:
     """(a, b): links between line hashes that connect all lines within one edit of each other."""
     keyed = distinct.select("h", F.explode("keys").alias("key"))
     shared = stash(shared_keys(keyed), "segments")
     some = stash(skew_join(keyed, "key", "h", shared.select("k_key"), "k_key").select("h").distinct(), "probed")
+    n_some = some.count()
 
-    wanted = may_hold(lines_of(docs).select(line_hash(F.col("line")).alias("h"), "line"), F.col("h"), bitmap_of(some, F.col("h"), 24), 24)
-    texts = wanted.join(some.select(F.col("h").alias("s_h")), F.col("h") == F.col("s_h"), "left_semi").groupBy("h", "line").agg(F.count(F.lit(1)).alias("n")).select("h", "line")
+    lines = apart(lines_of(docs).select(line_hash(F.col("line")).alias("h"), second_hash(F.col("line")).alias("again"), "line"), clashes)
+    wanted = filtered(lines, F.col("h"), some, F.col("h"), n_some)
+    # copies meet in a task before they are shuffled, so a line that many documents share is nobody's burden
+    texts = wanted.groupBy("h", "line").agg(F.count(F.lit(1)).alias("n")).select("h", "line").join(some.select(F.col("h").alias("s_h")), F.col("h") == F.col("s_h"), "left_semi")
     texts = stash(texts, "lines")
     n = F.char_length("line")
     fine = texts.select("h", F.explode(F.array_distinct(fine_keys(F.col("line"), n))).alias("key"))
@@ -117,10 +144,7 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
     small = members.where(F.col("n") <= SMALL)
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    pairs = stash(pairs, "pairs")
-    one = skew_join(pairs, "a", "b", found, "t_h").select("a", "b", F.col("line").alias("line_a"))
-    two = skew_join(one, "b", "a", found, "t_h", sized=pairs).select("a", "b", "line_a", F.col("line").alias("line_b"))
-    verified = stash(two.where(within_one(F.col("line_a"), F.col("line_b"))).select("a", "b"), "verified")
+    verified = stash(checked(stash(pairs, "pairs"), found), "verified")
 
     large = stash(members.where(F.col("n") > SMALL).select("h").distinct(), "crowded")
     if large.isEmpty():
@@ -134,18 +158,28 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     starred = skew_join(swaps, "key", "h", alike, "k_key").where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b"))
     shorter = crowded.select("h", F.explode(F.array_distinct(F.transform(places, lambda i: line_hash(cut(i))))).alias("key"))
     grown = skew_join(shorter, "key", "h", large.select(F.col("h").alias("o_h")), "o_h").select(F.col("o_h").alias("a"), F.col("h").alias("b"))
-    return verified.unionByName(stash(starred.unionByName(grown).distinct(), "crowded-links"))
+    crowd = stash(starred.unionByName(grown).distinct(), "crowded-pairs")
+    return verified.unionByName(stash(checked(crowd, crowded.select(F.col("h").alias("t_h"), "line")), "crowded-links"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, text_key, n_lines, dropped: the numbers of the lines to drop, rising."""
     line = F.col("line")
-    places = lines_of(docs).select("doc_id", "text_key", "line_no", line_hash(line).alias("h"), segment_keys(line, F.char_length(line)).alias("keys"))
+    n = F.char_length(line)
+    keys = F.when(n >= MIN_CHARS, segment_keys(line, n)).otherwise(F.array().cast("array<bigint>"))
+    places = lines_of(docs).select("doc_id", "text_key", "line_no", line_hash(line).alias("h"), second_hash(line).alias("again"), keys.alias("keys"))
     places = stash(places, "places")
-    distinct = places.select("h", "keys")
-    roots = stash(components(links(distinct, docs)).select(F.col("node").alias("r_node"), "root"), "roots")
     owner = F.coalesce("doc_id", F.lit(NO_ID))
-    counted = places.groupBy("h").agg(F.min(owner).alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    count = lambda t: stash(t.groupBy("h").agg(F.min(owner).alias("first_doc"), F.count(F.lit(1)).alias("n"), F.min("again").alias("low"), F.max("again").alias("high")), "counted")
+    counted = count(places)
+    clashes = counted.where("low <> high").select(F.col("h").alias("x_h"))
+    if clashes.isEmpty():  # as in nearly every corpus
+        clashes = None
+    else:
+        clashes = stash(clashes, "clashes")
+        places = stash(apart(places, clashes), "places")
+        counted = count(places)
+    roots = stash(components(links(places.select("h", "keys"), docs, clashes)).select(F.col("node").alias("r_node"), "root"), "roots")
     classed = stash(counted.join(roots, F.col("h") == F.col("r_node"), "left").select("h", F.coalesce("root", "h").alias("class"), "first_doc", "n"), "classed")
     whole = classed.groupBy(F.col("class").alias("w_class")).agg(F.min("first_doc").alias("keep_doc"), F.sum("n").alias("size")).where("size > 1")
     several = stash(classed.join(whole, F.col("class") == F.col("w_class")).select(F.col("h").alias("c_h"), "class", "keep_doc"), "several")
