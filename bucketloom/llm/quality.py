@@ -1,22 +1,25 @@
 """Quality rules: fixed counts and the perplexity of a modified Kneser-Ney character model.
 
-Each map task counts the packed 4-grams of its texts (16 bits a character, astral characters share one code) for each
-language; Spark sums them over all documents and derives the lower-order continuation counts, the three discounts of
-each order, the context sums and the interpolated probabilities with grouped aggregates and joins. The finished model
-is put into 2**SLOT_BITS hash slots (grams that meet in one share their count-weighted mean), so the sorted hash and
-log-probability arrays that are broadcast have a fixed bound, whatever the corpus holds.
+Each map task counts the packed 4-grams of its texts (16 bits a character; the planes beyond the first share the codes
+that no character has) for each language; Spark sums them over all documents and derives the lower-order continuation
+counts, the three discounts of each order, the context sums and the interpolated probabilities with grouped aggregates
+and joins. The model is two sorted arrays, hashes of (half, language, gram) in 64 bits and log-probabilities, one entry a
+gram. While it has MODEL_ROWS entries or fewer, which is counted, it is broadcast and looked up by binary search. A larger
+one stays a table: documents then send each of their grams once, with its count, and meet it in a join. Both ways give the
+same sums.
 
 No text is scored by its own counts: texts are dealt over two halves by hash, so that equal texts are in one, each half
 has a model of its own, and a text is scored by that of the other half, which backs off for grams it does not hold.
 
-A second pass looks up each distinct gram of a run of texts in the sorted arrays and sums log-probabilities by
-document. The bands come from the quartiles of all documents of a language: log-perplexity above the median by more than
-BAND upper spreads (upper quartile less median), or below it by more than BAND lower spreads, rejects a document. A spread
-is at least LEAST_SPREAD, and more for short texts, whose mean varies more.
+A text's score is its negative log-likelihood, all characters counted, by letter: over the characters in words that are
+not of SYMBOLS. So what stands between the letters must pay for itself. The bands come from the quartiles of all documents of
+a language: a score above the median by more than UPPER_BAND upper spreads (upper quartile less median), or below it
+by more than LOWER_BAND lower spreads, rejects a document. A spread is at least LEAST_SPREAD, and more for short texts,
+whose mean varies more.
 
 Defined results: null text has no words and fails the base rule; a null language is a language of its own; repeated
-rows count each time; null ids give a row each; an empty table gives no rows; extra columns are ignored by the query
-and kept by `kept_rows`.
+rows count each time; null ids give a row each; texts of any length are scored whole; an empty table gives no rows; extra
+columns are ignored by the query and kept by `kept_rows`.
 """
 
 from __future__ import annotations
@@ -27,30 +30,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bucketloom.llm.common import checked_broadcast, documents, drop_listed, stash
+from bucketloom.llm.common import checked_broadcast, documents, drop_listed, release_memory, small_batches, stash
 
 ORDER = 4
-SLOT_BITS = 22
+#: Entries of a model that is broadcast: 12 bytes each.
+MODEL_ROWS = 4_000_000
 #: Fixed value: the odd multiplier of Fibonacci hashing, 2**64 / golden ratio.
 MIX = 0x9E3779B97F4A7C15
 START = 2
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Chosen on the labels of even doc_id at sf0.1; the README has recall and loss, on odd doc_id too.
-BAND = 5.0
-LEAST_SPREAD = 0.01
-#: Variance of one character's log-probability, which a text of n characters divides by n.
+UPPER_BAND, LOWER_BAND = 9.0, 10.0
+LEAST_SPREAD = 0.005
+#: Variance of one character's log-probability, which a text of n letters divides by n.
 CHAR_VARIANCE = 0.3
 #: Grams that a counting task holds before it passes them on.
-HELD = 2_000_000
-RUN_BYTES = 8_000_000
+HELD = 1_000_000
+RUN_BYTES = 4_000_000
+#: The codes of 16 bits that no character of the first plane has (surrogates and private use).
+FREE, N_FREE = 0xD800, 0xF900 - 0xD800
 
 
 HALVES = (0, 1)
+#: What a null language is called.
+NO_LANGUAGE = " null"
 
 
 def half_of(text: Column) -> Column:
@@ -59,7 +68,7 @@ def half_of(text: Column) -> Column:
 
 
 def language(lang: Column) -> Column:
-    return F.coalesce(lang, F.lit("\x00"))
+    return F.coalesce(lang, F.lit(NO_LANGUAGE))
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +76,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     pad = chr(START) * (ORDER - 1)
     n = np.fromiter((len(x or "") for x in texts), "int64", len(texts))
     points = np.frombuffer((pad + pad.join(x or "" for x in texts)).encode("utf-32-le", "surrogatepass"), "<u4")
-    code = np.minimum(points, 0xFFFF).astype("uint64")
+    code = np.where(points > 0xFFFF, FREE + points % N_FREE, points).astype("uint64")
     packed = code[ORDER - 1 :].copy()
     for back in range(1, ORDER):
         packed |= code[ORDER - 1 - back : len(code) - back] << np.uint64(16 * back)
@@ -112,6 +121,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     yield from merged()
                     held, size = {}, 0
         yield from merged()
+        release_memory()
 
     each = docs.select(language(F.col("lang")).alias("lang"), half_of(F.col("text")).alias("half"), "text").mapInArrow(run, "lang string, half int, gram bigint, n bigint")
     return each.groupBy("lang", "gram").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in HALVES])
@@ -161,50 +171,76 @@ def kneser_ney(counts: DataFrame, max_langs: int = 10_000) -> DataFrame:
     return lower.select("lang", "gram", *[f"n{h}" for h in HALVES], *[F.log(f"p{h}").alias(f"logp{h}") for h in HALVES])
 
 
-def slots(lang: str, packed: np.ndarray) -> np.ndarray:
-    """The hash slots of a language's grams."""
-    salt = np.uint64(int.from_bytes(lang.encode("utf-8", "surrogatepass")[:64] or b"\0", "big") * MIX % 2**64)
+def hashed(half: int, lang: str, packed: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a language's grams, for the texts of one half."""
+    salt = np.uint64(xxhash.xxh64_intdigest(f"{half}{lang}".encode("utf-8", "surrogatepass")))
     with np.errstate(over="ignore"):
         x = (packed ^ salt) * np.uint64(MIX)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(MIX)
-    return (x >> np.uint64(64 - SLOT_BITS)).astype("uint32")
+        return x ^ (x >> np.uint64(32))
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model as two arrays of 2**SLOT_BITS entries at most: slots in rising order, and log-probabilities."""
+def train(docs: DataFrame) -> DataFrame:
+    """(key, logp): the entries of the models of both halves, for the texts that each is asked about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, packed = np.array(b["lang"].to_pylist(), dtype=object), b["gram"].to_numpy().view("uint64")
             for half in HALVES:  # a half's texts are scored by the model of the other one
-                slot = np.empty(len(packed), "uint32")
+                key = np.empty(len(packed), "uint64")
                 for lang in dict.fromkeys(langs):
                     at = langs == lang
-                    slot[at] = slots(f"{half}{lang}", packed[at])
-                own = pa.RecordBatch.from_arrays([pa.array(slot.astype("int64")), b[f"n{half}"], b[f"logp{1 - half}"]], ["slot", "n", "logp"])
-                yield own.filter(pc.greater(own["n"], 0))
+                    key[at] = hashed(half, lang, packed[at])
+                own = pa.RecordBatch.from_arrays([pa.array(key.view("int64")), b[f"n{half}"], b[f"logp{1 - half}"].cast("float32")], ["key", "n", "logp"])
+                yield own.filter(pc.greater(own["n"], 0)).select(["key", "logp"])
 
-    model = kneser_ney(gram_counts(docs)).mapInArrow(run, "slot bigint, n bigint, logp double").groupBy("slot").agg((F.sum(F.col("n") * F.col("logp")) / F.sum("n")).cast("float").alias("logp"))
+    return stash(kneser_ney(gram_counts(docs)).mapInArrow(run, "key bigint, logp float"), "model")
+
+
+def arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A model of MODEL_ROWS entries or fewer as sorted hashes and their log-probabilities."""
     table = model.toArrow()
-    slot, logp = table["slot"].to_numpy().astype("uint32"), table["logp"].to_numpy()
-    order = np.argsort(slot)
-    return slot[order], logp[order]
+    key, logp = table["key"].to_numpy().view("uint64"), table["logp"].to_numpy()
+    order = np.argsort(key)
+    return key[order], logp[order]
 
 
-def log_likelihoods(lang: str, texts: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def log_likelihoods(half: int, lang: str, texts: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The sum of log-probabilities of each text."""
     packed, n = grams(texts)
     if not len(packed):
         return np.zeros(len(n))
     coded = pa.array(packed).dictionary_encode()
-    slot = slots(lang, coded.dictionary.to_numpy())
-    at = np.minimum(np.searchsorted(model[0], slot), len(model[0]) - 1)
-    logp = np.where(model[0][at] == slot, model[1][at], np.float32(-20))
+    key = hashed(half, lang, coded.dictionary.to_numpy())
+    at = np.minimum(np.searchsorted(model[0], key), len(model[0]) - 1)
+    logp = np.where(model[0][at] == key, model[1][at], np.float32(-20))
     sums = np.append(0, np.cumsum(logp[coded.indices.to_numpy()], dtype="float64"))
     ends = np.cumsum(n)
     return sums[ends] - sums[ends - n]
 
 
+def joined_log_likelihoods(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(l_lang, l_key, log_likelihood) of each distinct text of docs (doc_id, lang, text_key, half, text): its grams, counted
+    in the text, meet the model in a join; a text sends a gram once, so no key has more rows than there are texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in text_runs(b):
+                langs, halves, keys = part["lang"].to_pylist(), part["half"].to_pylist(), part["text_key"].to_pylist()
+                for lang, half, name, text in zip(langs, halves, keys, part["text"].to_pylist(), strict=True):
+                    packed, _ = grams([text])
+                    found = pc.value_counts(pa.array(packed))
+                    key = hashed(half, lang, found.field(0).to_numpy())
+                    n = len(key)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n, "string"), pa.array([name] * n, "int64"), pa.array(key.view("int64")), found.field(1)], ["l_lang", "l_key", "key", "n"])
+
+    each = docs.mapInArrow(run, "l_lang string, l_key bigint, key bigint, n bigint")
+    copies = docs.groupBy(F.col("lang").alias("c_lang"), F.col("text_key").alias("c_key")).agg(F.count(F.lit(1)).alias("copies"))
+    met = each.join(model.select(F.col("key").alias("m_key"), "logp"), F.col("key") == F.col("m_key"), "left")
+    sums = met.groupBy("l_lang", "l_key").agg(F.sum(F.col("n") * F.coalesce(F.col("logp").cast("double"), F.lit(-20.0))).alias("total"))
+    return sums.join(copies, (F.col("l_lang") == F.col("c_lang")) & (F.col("l_key") == F.col("c_key"))).select("l_lang", "l_key", (F.col("total") / F.col("copies")).alias("log_likelihood"))
+
+
 def rules(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""
@@ -221,43 +257,52 @@ def rules(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (doc_id, lang, text) to doc_id, lang, text_key, n_words, the four counts, n_chars, log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+NAMES = ["doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_likelihood"]
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """docs (doc_id, lang, text) to doc_id, lang, text_key, n_words, the four counts, log_likelihood."""
+    held = model.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS
+    shared = docs.sparkSession.sparkContext.broadcast(arrays(model)) if held else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in text_runs(b):
                 texts, langs, halves = part["text"].to_pylist(), np.array(part["lang"].to_pylist(), dtype=object), part["half"].to_numpy()
                 likely = np.zeros(len(texts))
-                for lang, half in dict.fromkeys(zip(langs, halves.tolist(), strict=True)):
-                    at = np.flatnonzero((langs == lang) & (halves == half))
-                    likely[at] = log_likelihoods(f"{half}{lang}", [texts[k] for k in at], shared.value)
+                if shared is not None:
+                    for lang, half in dict.fromkeys(zip(langs, halves.tolist(), strict=True)):
+                        at = np.flatnonzero((langs == lang) & (halves == half))
+                        likely[at] = log_likelihoods(half, lang, [texts[k] for k in at], shared.value)
                 counted = np.array([rules(x) for x in texts], dtype="int64").reshape(-1, 5)
-                chars = pa.array([len(x or "") for x in texts], "int64")
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"], part["text_key"], *(pa.array(counted[:, k]) for k in range(5)), chars, pa.array(likely)], NAMES)
-
-    schema = "doc_id bigint, lang string, text_key bigint, " + ", ".join(f"{c} bigint" for c in NAMES[3:9]) + ", log_likelihood double"
-    return docs.select(F.col("doc_id").cast("bigint"), language(F.col("lang")).alias("lang"), F.xxhash64("text").alias("text_key"), half_of(F.col("text")).alias("half"), "text").mapInArrow(run, schema)
-
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"], part["text_key"], *(pa.array(counted[:, k]) for k in range(5)), pa.array(likely)], NAMES)
+        release_memory()
 
-NAMES = ["doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "log_likelihood"]
+    schema = "doc_id bigint, lang string, text_key bigint, " + ", ".join(f"{c} bigint" for c in NAMES[3:8]) + ", log_likelihood double"
+    told = docs.select(F.col("doc_id").cast("bigint"), language(F.col("lang")).alias("lang"), F.xxhash64("text").alias("text_key"), half_of(F.col("text")).alias("half"), "text")
+    scored = told.mapInArrow(run, schema)
+    if held:
+        return scored
+    likely = joined_log_likelihoods(told, model)
+    scored = scored.drop("log_likelihood").join(likely, (F.col("lang") == F.col("l_lang")) & (F.col("text_key") == F.col("l_key")), "left")
+    return scored.withColumn("log_likelihood", F.coalesce("log_likelihood", F.lit(0.0))).select(*NAMES)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """What `score` gives with log_ppl, base_failed and kept."""
-    scored = stash(score(docs, train(docs)), "scores")
-    log_ppl = -F.col("log_likelihood") / F.greatest("n_chars", F.lit(1))
-    t = scored.withColumn("log_ppl", log_ppl).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    with small_batches(docs.sparkSession):
+        scored = stash(score(docs, train(docs)), "scores")
+    letters = F.greatest(F.col("word_chars") - F.col("n_symbols"), F.lit(1))
+    t = scored.withColumn("log_ppl", -F.col("log_likelihood") / letters).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = F.percentile_approx("log_ppl", F.lit([0.25, 0.5, 0.75]), 10_000)
-    bands = t.where("n_words >= 50").groupBy(F.col("lang").alias("q_lang")).agg(q.alias("q"))
+    bands = t.where("not base_failed").groupBy(F.col("lang").alias("q_lang")).agg(q.alias("q"))
     between = lambda a, b: F.greatest(F.lit(LEAST_SPREAD), F.get("q", F.lit(b)) - F.get("q", F.lit(a)))
     bands = bands.select("q_lang", F.get("q", F.lit(1)).alias("middle"), between(0, 1).alias("lower"), between(1, 2).alias("upper"))
     bands, _ = checked_broadcast(stash(bands, "bands"), 10_000)
     t = t.join(bands, F.col("lang") == F.col("q_lang"), "left")
     off = F.col("log_ppl") - F.col("middle")
-    spread = F.when(off > 0, F.col("upper")).otherwise(F.col("lower"))
-    far = F.abs(off) > BAND * F.sqrt(spread * spread + CHAR_VARIANCE / F.greatest("n_chars", F.lit(1)))
+    spread, band = F.when(off > 0, F.col("upper")).otherwise(F.col("lower")), F.when(off > 0, F.lit(UPPER_BAND)).otherwise(F.lit(LOWER_BAND))
+    far = F.abs(off) > band * F.sqrt(spread * spread + CHAR_VARIANCE / letters / (UPPER_BAND * UPPER_BAND))
     return t.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("q_lang")
 
 
