@@ -1,40 +1,43 @@
 """Best-fit packing with Martello-Toth dominance reduction.
 
 Texts are tokenised in place; a document's ids end with END. Documents over the capacity are cut into full pieces with
-the shorter one first, so a full piece is a sequence by itself and only the first pieces have to be packed. Piece
-lengths are 1..capacity, so the instance is a histogram: `capacity` counts, whatever the corpus holds. The driver
-solves the histogram in bulk:
+the shorter one first, so a full piece is a sequence by itself and only the first pieces have to be packed.
 
-1. reduction: while it holds for the largest length a left, with b the largest length that fits beside it: if a + b
-   fills the sequence, or if no two pieces fit beside a (the two smallest are too long), {a, b} dominates every other set
-   with a, so as many of these pairs as there are get fixed (and {a} alone if nothing fits beside it);
+Documents have places in a stream: the order of their table's files and of the rows in them, which is the order that
+source mixing wrote. A window is WINDOW documents in a row; each is packed by itself, in one task that holds its narrow
+rows, so what is packed together was mixed together. Lengths are below the capacity, so a window is a histogram:
+
+1. reduction: for each length a, longest first, and again until nothing changes: if no piece fits beside a, {a}; if the
+   longest b that fits fills the sequence, or no two pieces fit beside a, or those that fit are no longer than b
+   together, {a, b}; if two at most fit and the best two are b and a shorter y such that no two pieces over y fit,
+   {a, b, y}. Such a set dominates every other one with a: whatever stands beside a there fits into the places of b and
+   y. So as many of these sets as there are get fixed, and some optimal packing has them;
 2. best fit, longest first, for what is left.
 
-A solution is a list of patterns (lengths in a sequence, how often). Pieces of one length are alike, so each takes a
-place of its length by its rank among them, found by binary search in the broadcast pattern table: no task sees more
-than its own pieces. The table has at most some thousand rows, as patterns depend on the histogram only.
+A solution is a list of patterns (lengths in a sequence, how often); pieces of one length are alike and fill the patterns
+in the order of the stream. A sequence is named by the first place in the stream that it holds, so names rise with it.
 
 Defined results: null and empty texts are one END token; null ids and repeated rows are packed like any other; an empty
-table gives no rows; extra columns are ignored. Equal pieces (same id and length) take their places in any order.
+table gives no rows; extra columns are ignored; texts of any length are tokenised whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from bucketloom.llm.common import documents, group_ranks, stash
+from bucketloom.llm.common import BROADCAST_ROWS, checked_broadcast, documents, release_memory, small_batches, stash
 
 CAPACITY = 1024
 END = 2
@@ -42,9 +45,11 @@ END_BYTES = struct.pack("<I", END)
 #: Fixed value: the word pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A worker keeps the ids of so many words, and of none longer than this.
-CACHED_WORDS, CACHED_CHARS = 1_000_000, 48
+CACHED_WORDS, CACHED_CHARS = 200_000, 48
 #: Texts are taken in runs of about so many bytes.
-RUN_BYTES = 8_000_000
+RUN_BYTES = 4_000_000
+#: Documents that are packed together. A window costs one sequence more at most than a larger one would.
+WINDOW = 8192
 #: White space in any script, and where it makes the cut at spaces and line ends tokenise in another way than the text.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 UNSAFE = rf"^{SPACE}|{SPACE}{SPACE}{SPACE}|{SPACE}{SPACE}\z|\t"
@@ -66,27 +71,40 @@ class Words(dict):
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        model = json.loads(self.tokenizer.to_str())
-        self.special = [x["content"] for x in model["added_tokens"]]
-        vocabulary, letters = model["model"]["vocab"], byte_letters()
-        made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["model"]["merges"]]
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        self.path, self.slow = path, None
+        self.special = [x["content"] for x in whole["added_tokens"]]
+        vocabulary, letters, before = whole["model"]["vocab"], byte_letters(), whole["pre_tokenizer"] or {}
+        made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in whole["model"]["merges"]]
         self.fast = None
-        if made == sorted(set(made)) and model["pre_tokenizer"] and model["pre_tokenizer"].get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space") and not model["normalizer"]:
+        if made == sorted(set(made)) and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not whole["normalizer"]:
+            import tiktoken
+
             ranks = {bytes(letters[c] for c in w): i for w, i in vocabulary.items() if w not in self.special}
             self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
         self.lead = len(self.ids(" ") + self.ids("\n"))
 
+    def whole_ids(self, text: str) -> list[int]:
+        """By `tokenizers` itself, which is loaded only if some text needs it."""
+        if self.slow is None:
+            import os
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+    def has_special(self, texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        for x in self.special:
+            out |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        return out
+
     def ids(self, text: str) -> bytes:
         if self.fast is None or any(x in text for x in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.whole_ids(text)
         else:
             ids = self.fast.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -110,11 +128,11 @@ class Words(dict):
 
         The vocabulary's word pattern takes one space into the word after it, makes a single line end a word and never
         crosses from anything else into white space, so a text is the ids of its parts in turn: each distinct part is
-        looked up once a run. Texts with longer white space go through whole. A
-        line end before the text gives its first word a part of its own kind; that one id is dropped.
+        looked up once a run. Texts with longer white space, and texts with a special token, which parts the text before
+        the word pattern sees it, go through whole. A line end before the text gives its first word a part of its own kind; that one id is dropped.
         """
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False) | self.has_special(texts)
         blank = pa.scalar("", texts.type)
         lined = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.if_else(pa.array(odd), blank, texts), blank), "\n", " \n")
         parts = pc.split_pattern(lined, " ")  # each text's first part is empty
@@ -153,8 +171,18 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
+def in_stream(docs: DataFrame) -> DataFrame:
+    """doc_id, text, file, row: where a row of docs stands. Rows that are not read from Parquet files are written to some first."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    own = [F.col("doc_id").cast("bigint").alias("doc_id"), "text"]
+    try:
+        return docs.select(*own, *where)
+    except AnalysisException:
+        return stash(docs.select(*own), "texts").select("doc_id", "text", *where)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
-    """docs (doc_id, text) to one row a piece: doc_id, piece, start, length, ids_crc32, and ids if asked."""
+    """docs (doc_id, text) to one row a piece: doc_id, piece, start, length, ids_crc32, file, row, and ids if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bucketloom.llm.packing import words_of
@@ -173,15 +201,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, capacit
                             out[c].append(v)
                         if with_ids:
                             kept.append(np.frombuffer(piece, "<u4").astype("int64"))
-                columns = [part["doc_id"].take(pa.array(at, "int64")), pa.array(out["piece"], "int32"), *(pa.array(out[c], "int64") for c in ("start", "length", "ids_crc32"))]
-                names = ["doc_id", *out]
+                rows = pa.array(at, "int64")
+                columns = [part["doc_id"].take(rows), pa.array(out["piece"], "int32"), *(pa.array(out[c], "int64") for c in ("start", "length", "ids_crc32")), part["file"].take(rows), part["row"].take(rows)]
+                names = ["doc_id", *out, "file", "row"]
                 if with_ids:
                     columns.append(pa.array(kept, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, file string, row bigint" + (", ids array<bigint>" if with_ids else "")
+    return in_stream(docs).mapInArrow(run, schema)
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -195,36 +225,67 @@ def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, times) that use each length as often as counts says."""
-    left = {s: n for s, n in counts.items() if n}
-    sizes = sorted(left)
-    fixed: list[tuple[tuple[int, ...], int]] = []
-
-    def take(lengths: tuple[int, ...], times: int) -> None:
-        fixed.append((lengths, times))
-        for s in set(lengths):
-            left[s] -= lengths.count(s) * times
-            if not left[s]:
-                sizes.remove(s)
-
-    while sizes:  # reduction
-        a = sizes[-1]
-        free = capacity - a
-        k = bisect_left(sizes, free + 1)
-        b = sizes[k - 1] if k else 0
-        if b == a and left[a] == 1:
-            b = sizes[k - 2] if k > 1 else 0
-        if not b:
-            take((a,), left[a] if sizes[0] > free or left[a] == 1 else 1)
-            continue
-        smallest = sizes[0] * 2 if left[sizes[0]] > 1 + (sizes[0] == a) else sizes[0] + (sizes[1] if len(sizes) > 1 else free)
-        if a + b == capacity or smallest > free:
-            take((a, b), left[a] // 2 if a == b else min(left[a], left[b]))
+def dominating(a: int, sizes: list[int], left: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """The lengths beside a in a set that dominates every other set with a, if the rules of the module find one."""
+    free = capacity - a
+    rest = lambda s: left[s] - (s == a)  # noqa: E731  how many of a length there are beside this one
+    small: list[int] = []
+    for s in sizes:
+        small += [s] * min(3 - len(small), rest(s))
+        if len(small) == 3 or s > free:
+            break
+    if not small or small[0] > free:
+        return ()
+    k = bisect_right(sizes, free) - 1
+    b = sizes[k] if rest(sizes[k]) else sizes[k - 1]
+    if b == free or len(small) < 2 or small[0] + small[1] > free:
+        return (b,)
+    if len(small) == 3 and sum(small) <= free:
+        return None
+    best, x, y = 0, 0, 0  # the two that fill most, with the longest of them
+    low, high = 0, k
+    while low <= high:
+        s, t = sizes[low], sizes[high]
+        if s + t > free or not rest(t) or (s == t and rest(s) < 2):
+            high -= 1
         else:
+            if rest(s) and s + t > best:
+                best, x, y = s + t, t, s
+            low += 1
+    if b >= best:
+        return (b,)
+    if b != x:
+        return None
+    over: list[int] = []
+    for s in sizes[bisect_right(sizes, y) :]:
+        over += [s] * min(2 - len(over), rest(s))
+        if len(over) == 2:
             break
+    return (x, y) if len(over) < 2 or sum(over) > free else None
+
 
-    # best fit, longest first, on groups of equal sequences: free space -> [(lengths, times)]
+def reduce_exactly(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Takes the sets out of left that some optimal packing holds, and returns them: (lengths, times)."""
+    fixed: list[tuple[tuple[int, ...], int]] = []
+    sizes, changed = sorted(left), True
+    while changed:
+        changed = False
+        for a in reversed(list(sizes)):
+            while left.get(a) and (beside := dominating(a, sizes, left, capacity)) is not None:
+                lengths = (a, *beside)
+                times = min(left[s] // lengths.count(s) for s in lengths)
+                fixed.append((lengths, times))
+                for s in set(lengths):
+                    left[s] -= lengths.count(s) * times
+                    if not left[s]:
+                        del left[s]
+                        sizes.remove(s)
+                changed = True
+    return fixed
+
+
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, each into the fullest sequence that it fits, on groups of equal sequences: (lengths, times)."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     spaces: list[int] = []
 
@@ -234,7 +295,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[
                 insort(spaces, space)
             open_.setdefault(space, []).append((lengths, times))
 
-    for s in reversed(sizes):
+    for s in sorted(left, reverse=True):
         n = left[s]
         while n:
             k = bisect_left(spaces, s)
@@ -253,48 +314,66 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[
             put(space, lengths, times - used)
             put(space - each * s, lengths + (s,) * each, used)
             n -= used * each
-    return fixed + [p for ps in open_.values() for p in ps]
-
-
-def places(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
-    """For each length the ranks in turn: from rank `lo` on, `each` places in each of the sequences from `first`, at `at`."""
-    rows, rank, sequence = [], {}, 0
-    for lengths, times in patterns:
-        at = 0
-        for s in sorted(set(lengths), reverse=True):
-            each = lengths.count(s)
-            rows.append((s, rank.get(s, 0), each, sequence, at))
-            rank[s] = rank.get(s, 0) + each * times
-            at += s * each
-        sequence += times
-    return pd.DataFrame(rows, columns=["length", "lo", "each", "first", "at"]).sort_values(["length", "lo"], ignore_index=True)
-
-
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut (as of `pieces`) with sequence_id and offset."""
-    spark = cut.sparkSession
-    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
-    table = places(solve(counts, capacity))
-    shared = spark.sparkContext.broadcast({int(s): {c: g[c].to_numpy() for c in ("lo", "each", "first", "at")} for s, g in table.groupby("length")})
-    ranked = group_ranks(cut, "length", ["doc_id", "piece", "ids_crc32"], "__bl_rank_in_length")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = shared.value
-        for b in batches:
-            length, rank = b["length"].to_numpy(), b["__bl_rank_in_length"].to_numpy()
-            seq, off = np.zeros(len(b), "int64"), np.zeros(len(b), "int64")
-            for s in np.unique(length):
-                at, t = np.flatnonzero(length == s), tables[int(s)]
-                k = np.searchsorted(t["lo"], rank[at], side="right") - 1
-                r = rank[at] - t["lo"][k]
-                seq[at] = t["first"][k] + r // t["each"][k]
-                off[at] = t["at"][k] + r % t["each"][k] * s
-            yield b.drop(columns="__bl_rank_in_length").assign(sequence_id=seq, offset=off, doc_id=b["doc_id"].astype("Int64"))
-
-    kept = [f.name for f in cut.schema.fields]
-    ordered = ranked.select(*kept, "__bl_rank_in_length")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ordered.mapInPandas(run, f"{fields}, sequence_id bigint, offset bigint")
+    return [p for ps in open_.values() for p in ps]
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], list[tuple[tuple[int, ...], int]]]:
+    """(fixed by the reduction, packed by best fit): patterns (lengths, times) that use each length as often as counts says."""
+    left = {s: n for s, n in counts.items() if n}
+    return reduce_exactly(left, capacity), best_fit(left, capacity)
+
+
+def placed(length: np.ndarray, name: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence_id, offset, reduced) of pieces with rising names: the name of a sequence is the least in it."""
+    order = np.argsort(length, kind="stable")
+    ends = dict(zip(*np.unique(length, return_index=False, return_counts=True), strict=True))
+    counts = {int(s): int(n) for s, n in ends.items()}
+    next_ = {}
+    at = 0
+    for s in sorted(counts):
+        next_[s] = at
+        at += counts[s]
+    fixed, rest = solve(counts, capacity)
+    sequence, offset, reduced = np.zeros(len(length), "int64"), np.zeros(len(length), "int64"), np.zeros(len(length), bool)
+    for patterns, by_rule in ((fixed, True), (rest, False)):
+        for lengths, times in patterns:
+            for _ in range(times):
+                held, used = [], 0
+                for s in lengths:
+                    i = order[next_[s]]
+                    next_[s] += 1
+                    held.append(i)
+                    offset[i] = used
+                    used += s
+                sequence[held] = name[held].min()
+                reduced[held] = by_rule
+    return sequence, offset, reduced
+
+
+#: Pieces of one document are named by its place times this, plus their number.
+PIECES = 1 << 24
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
+    """cut (as of `pieces`) with sequence_id, offset and reduced: whether the reduction fixed the sequence."""
+    sizes = cut.groupBy(F.col("file").alias("f_file")).agg((F.max("row") + 1).alias("n"))
+    before = Window.orderBy(F.length("f_file"), "f_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts, _ = checked_broadcast(stash(sizes.select("f_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("f_start")), "starts"), BROADCAST_ROWS)
+    own = [f for f in cut.schema.fields if f.name not in ("file", "row")]
+    place = F.col("f_start") + F.col("row")
+    named = cut.join(starts, F.col("file") == F.col("f_file")).select(*[f.name for f in own], (place * PIECES + F.col("piece")).alias("name"), F.floor(place / window).cast("bigint").alias("window"))
+    full = named.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("name"), "offset": F.lit(0).cast("bigint"), "reduced": F.lit(True)})
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("name")
+        sequence, offset, reduced = placed(t["length"].to_numpy(), t["name"].to_numpy(), capacity)
+        for c, v in (("sequence_id", sequence), ("offset", offset), ("reduced", reduced)):
+            t = t.append_column(c, pa.array(v))
+        return t.drop_columns(["name", "window"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
+    short = named.where(F.col("length") < capacity).groupBy("window").applyInArrow(run, f"{fields}, sequence_id bigint, offset bigint, reduced boolean")
+    return full.select(*short.columns).unionByName(short)
 
 
 def tokenizer_file() -> str:
@@ -304,7 +383,9 @@ def tokenizer_file() -> str:
 
 
 def packed(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    return pack(stash(pieces(docs, tokenizer_path or tokenizer_file()), "pieces"))
+    with small_batches(docs.sparkSession):
+        cut = stash(pieces(docs, tokenizer_path or tokenizer_file()), "pieces")
+    return pack(cut)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
