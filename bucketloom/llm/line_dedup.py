@@ -211,3 +211,24 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(documents(spark, sf_dir).select("doc_id", "text"))
     return d.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped_lines"))
+
+
+#: Candidates share a half as well, but links are made by the first place where two lines differ, and rows are told apart by
+#: the lines themselves. Ids are taken to be unique, as those of the test tables are.
+ORACLE_OP5 = f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS d, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+places AS (SELECT * FROM (SELECT d, doc_id, i - 1 AS no, trim(ls[i], ' ') AS line FROM (SELECT d, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)) WHERE line <> ''),
+kinds AS (SELECT line, length(line) AS n FROM (SELECT DISTINCT line FROM places)),
+parts AS (SELECT line, n, l FROM kinds, (SELECT unnest([0, 1]) AS less), LATERAL (SELECT n - less AS l) WHERE n >= {MIN_CHARS}),
+entries AS (SELECT line, n, l, 1 AS side, left(line, l // 2) AS part FROM parts UNION ALL SELECT line, n, l, 2, right(line, l - l // 2) FROM parts),
+pairs AS (SELECT DISTINCT CASE WHEN a.n <= b.n THEN a.line ELSE b.line END AS s, CASE WHEN a.n <= b.n THEN b.line ELSE a.line END AS g, least(a.n, b.n) AS n, abs(a.n - b.n) AS more
+  FROM entries a JOIN entries b ON a.l = b.l AND a.side = b.side AND a.part = b.part AND a.line < b.line WHERE abs(a.n - b.n) <= 1),
+first AS (SELECT s, g, more, coalesce(list_position([x[1] <> x[2] FOR x IN list_zip(string_split(s, ''), string_split(g, '')[1 : n])], true), n + 1) AS m FROM pairs),
+links AS (SELECT s, g FROM first WHERE substr(s, m + 1 - more) = substr(g, m + 1)),
+edges AS (SELECT s AS x, g AS y FROM links UNION SELECT g, s FROM links),
+walk(k, r) AS (SELECT DISTINCT x, x FROM edges UNION SELECT e.y, walk.r FROM walk JOIN edges e ON e.x = walk.k WHERE walk.r < e.y),
+root AS (SELECT k, min(r) AS r FROM walk GROUP BY k),
+ranked AS (SELECT d, no, row_number() OVER (PARTITION BY coalesce(r, line) ORDER BY doc_id NULLS LAST, no) AS place FROM places LEFT JOIN root ON k = line),
+gone AS (SELECT d, count(*) AS n, string_agg(no, ',' ORDER BY no) AS dropped FROM ranked WHERE place > 1 GROUP BY d)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_dropped, coalesce(dropped, '') AS dropped_lines FROM t LEFT JOIN gone USING (d)
+"""

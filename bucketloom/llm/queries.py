@@ -17,4 +17,10 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLES = {"op2_license_scan": licenses.ORACLE_OP2, "op7_exact_dedup": exact_dedup.ORACLE_OP7, "op8_secret_scan": secrets.ORACLE_OP8}
+ORACLES = {
+    "op2_license_scan": licenses.ORACLE_OP2,
+    "op5_line_dedup": line_dedup.ORACLE_OP5,
+    "op7_exact_dedup": exact_dedup.ORACLE_OP7,
+    "op8_secret_scan": secrets.ORACLE_OP8,
+    "op9_minhash_near_dedup": near_dedup.ORACLE_OP9,
+}
