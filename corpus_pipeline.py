@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing and packing, each stage written and read again."""
+"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing and packing, each stage written and read again.
+
+Mixing decides the order of the rows in the files that it writes; packing takes documents in that order, packs those
+together that stand near each other, and names sequences by their first place. So the sequences in order of their ids
+follow the mix.
+
+Each stage takes null ids, texts, languages and sources, repeated rows, empty tables and columns of any other names; what
+it does with them is stated in its operator.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +44,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The language model and the tokenizer cannot be expressed in SQL; tests hold the stages against brute force.
+#: The language model and the tokenizer cannot be expressed in SQL; tests/llm/test_pipeline.py holds run() and the
+#: stages against a brute-force version.
 ORACLE_SQL = None
 
 
