@@ -3,7 +3,8 @@
 Two layouts: catalogue tables bucketed by Spark's own hash, whose joins need no exchange, and a directory layout
 (bucket_id=/shard_id=, one sorted file a pair, bucket by the seed-0 hash) with a manifest that states the number of
 buckets, so that empty trailing buckets cannot mislead a join. Each file's footer holds the key and the number of buckets
-too, as metadata of the key column.
+too, as metadata of the key column. A writer whose shards are small lets neighbours of a bucket share a file (`packed`): it
+lies under its first shard's number, and each row holds its own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from bucketloom.sources.workspace import fresh_path
 
 #: Bytes of a row group: what a reader of two sorted files holds of each.
 ROW_GROUP = 16 << 20
+#: The column of a packed layout's files that holds a row's shard.
+SHARD = "__bl_shard"
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,7 @@ class Manifest:
     shards: dict[str, int]
     schema: str
     hasher: str = "murmur3"
+    packed: bool = False
 
     @property
     def key(self) -> str:
@@ -94,13 +98,17 @@ def sort_key(schema: StructType, keys: list[str]) -> list[Column]:
     return [encode_typed(F.col(k), schema[k].dataType) for k in keys]
 
 
-def write_directory(df: DataFrame, key: str | list[str], n: int, shard: Column | None = None, shards: dict[int, int] | None = None, hasher: str = "murmur3", path: str | None = None) -> Manifest:
-    """df by (bucket_id, shard_id), sorted by the bytes of its keys, one file a pair, with a manifest."""
+def write_directory(df: DataFrame, key: str | list[str], n: int, shard: Column | None = None, shards: dict[int, int] | None = None, hasher: str = "murmur3", path: str | None = None, first: Column | None = None) -> Manifest:
+    """df by (bucket_id, shard_id), sorted by the bytes of its keys, one file a pair, with a manifest. first: of bucket_id
+    and shard_id, the first of the shards that share a file; a file is sorted by key whatever shards it holds."""
     keys = key_list(key)
     path = path or fresh_path(df.sparkSession, "layout")
-    t = placed(df, keys, n, hasher, shard).repartition("bucket_id", "shard_id").sortWithinPartitions("bucket_id", "shard_id", *sort_key(df.schema, keys))
+    t = placed(df, keys, n, hasher, shard)
+    if first is not None:
+        t = t.withColumn(SHARD, F.col("shard_id")).withColumn("shard_id", first)
+    t = t.repartition("bucket_id", "shard_id").sortWithinPartitions("bucket_id", "shard_id", *sort_key(df.schema, keys))
     t.write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket_id", "shard_id").parquet(path)
-    return write_manifest(df.sparkSession, Manifest(path, keys, n, {str(b): s for b, s in (shards or {}).items()}, df.schema.json(), hasher))
+    return write_manifest(df.sparkSession, Manifest(path, keys, n, {str(b): s for b, s in (shards or {}).items()}, df.schema.json(), hasher, first is not None))
 
 
 def read_manifest(spark: SparkSession, path: str) -> Manifest:
@@ -108,14 +116,17 @@ def read_manifest(spark: SparkSession, path: str) -> Manifest:
 
 
 def read_directory(spark: SparkSession, m: Manifest) -> DataFrame:
-    return spark.read.schema(m.columns.add("bucket_id", IntegerType()).add("shard_id", IntegerType())).parquet(m.path)
+    columns = m.columns.add(SHARD, IntegerType()) if m.packed else m.columns
+    t = spark.read.schema(columns.add("bucket_id", IntegerType()).add("shard_id", IntegerType())).parquet(m.path)
+    return t.withColumn("shard_id", F.col(SHARD)).drop(SHARD) if m.packed else t
 
 
 def files(spark: SparkSession, m: Manifest) -> DataFrame:
-    """(path, bucket_id, shard_id, name) of the files that are there; name is the layout's own name of a file."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(m.path).select("path")
+    """(path, bucket_id, shard_id, name, length) of the files that are there; name is the layout's own name of a file. In a
+    packed layout shard_id is a file's first shard."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(m.path).select("path", "length")
     part = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)/", 1).cast("int").alias(name)
-    return found.select("path", part("bucket_id"), part("shard_id")).withColumn("name", F.format_string("part-b%05d-s%05d.parquet", "bucket_id", "shard_id"))
+    return found.select("path", part("bucket_id"), part("shard_id"), F.format_string("part-b%05d-s%05d.parquet", part("bucket_id"), part("shard_id")).alias("name"), "length")
 
 
 def read_header(spark: SparkSession, m: Manifest) -> dict:

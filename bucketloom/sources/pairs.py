@@ -1,6 +1,7 @@
-"""A Python data source that joins two directory layouts without an exchange: one partition a file of the left layout.
+"""A Python data source that joins two directory layouts without an exchange: a partition is a file of the left layout, or
+neighbours of one that are small together with what they meet.
 
-A partition streams its file by row groups against those of the right files in congruent buckets whose key range meets
+A partition streams each of its files by row groups against those of the right files in congruent buckets whose key range meets
 it, so it holds one row group of each side whatever the files hold; a hot key's rows meet row group by row group. Keys are
 compared by value, whole (64 bits, text, several columns); null keys never match. Files are opened by pyarrow, which
 reads local, hdfs, s3 and gs paths; for others `join_pairs` falls back on the join of both layouts by Spark.
@@ -21,6 +22,8 @@ from bucketloom.sources.layout import Manifest, files, read_directory
 
 #: Joined rows in a batch.
 ROWS_OUT = 1 << 16
+#: Bytes of files that a partition reads, if its files are smaller.
+BUNDLE = 32 << 20
 
 
 class PairSource(DataSource):
@@ -38,12 +41,13 @@ class PairSource(DataSource):
 class SortedFile:
     """The row groups of a file, with the range of the first key of each."""
 
-    def __init__(self, path: str, keys: list[str]) -> None:
+    def __init__(self, path: str, keys: list[str], columns: list[str] | None = None) -> None:
         import pyarrow.parquet as pq
         from pyarrow.fs import FileSystem
 
         fs, inner = FileSystem.from_uri(path)
         self.file, self.keys, self.path = pq.ParquetFile(fs.open_input_file(inner)), keys, path
+        self.columns = None if columns is None else list(dict.fromkeys([*keys, *columns]))
         at = self.file.schema_arrow.names.index(keys[0])
         self.ranges = []
         for g in range(self.file.num_row_groups):
@@ -55,7 +59,7 @@ class SortedFile:
         """Row group g without rows that have a null key."""
         import pyarrow.compute as pc
 
-        t = self.file.read_row_group(g, use_threads=False)
+        t = self.file.read_row_group(g, columns=self.columns, use_threads=False)
         for k in self.keys:
             t = t.filter(pc.is_valid(t[k]))
         check_sorted([t[k].combine_chunks() for k in self.keys], self.path)
@@ -110,26 +114,49 @@ def codes(left, right, l_keys: list[str], r_keys: list[str]):
     return out[: len(left)], out[len(left) :]
 
 
+def bundled(left: list, right: dict[str, list], least: int, most_bytes: int = BUNDLE) -> list[list[tuple[str, str]]]:
+    """The left files (path, class, length) in runs for one task each: by the bytes that a file and those of its class in
+    right (path, length) hold, at most most_bytes or a least-th of all of them, but a file at least."""
+    met = {c: sum(n for _, n in found) for c, found in right.items()}
+    weights = [n + met[c] for _, c, n in left]
+    limit = min(most_bytes, sum(weights) / max(1, least))
+    out, held = [], limit
+    for (path, c, _), w in zip(left, weights, strict=True):
+        if held + w > limit:
+            out.append([])
+            held = 0
+        out[-1].append((path, c))
+        held += w
+    return out
+
+
 class PairReader(DataSourceReader):
     def __init__(self, plan: dict, schema: StructType) -> None:
         self.plan, self.schema = plan, schema
 
+    def __getstate__(self) -> dict:
+        """Tasks get their own files as partitions, never the lists of all files."""
+        return self.__dict__ | {"plan": {k: v for k, v in self.plan.items() if k not in ("left", "right")}}
+
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(x) for x in self.plan["left"]] or [InputPartition(None)]
+        right = self.plan["right"]
+        runs = bundled(self.plan["left"], right, self.plan["least"])
+        return [InputPartition((run, {c: [p for p, _ in right[c]] for _, c in run})) for run in runs] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator:
         if partition.value is None:
             return
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        path, group = partition.value
+        run, right_of = partition.value
         plan, target = self.plan, to_arrow_schema(self.schema)
-        left = SortedFile(path, plan["left_keys"])
-        rights = [SortedFile(p, plan["right_keys"]) for p in plan["right"][group]]
-        for g, reach in enumerate(left.ranges):
-            for right in rights:
-                for h in right.meeting(reach):
-                    yield from self.joined(left.group(g), right.group(h), target)
+        for path, group in run:
+            left = SortedFile(path, plan["left_keys"], plan["left_columns"])
+            rights = [SortedFile(p, plan["right_keys"], plan["right_columns"]) for p in right_of[group]]
+            for g, reach in enumerate(left.ranges):
+                for right in rights:
+                    for h in right.meeting(reach):
+                        yield from self.joined(left.group(g), right.group(h), target)
 
     def joined(self, a, b, target) -> Iterator:
         import numpy as np
@@ -177,16 +204,16 @@ def join_pairs(spark: SparkSession, left: Manifest, right: Manifest) -> DataFram
     if not (reachable(left.path) and reachable(right.path)):
         return by_exchange(spark, left, right)
     g = math.gcd(left.num_buckets, right.num_buckets)
-    l_files, r_files = ([(f["path"], f["bucket_id"] % g) for f in files(spark, m).collect()] for m in (left, right))
+    l_files, r_files = ([(f["path"], f["bucket_id"] % g, f["length"]) for f in files(spark, m).collect()] for m in (left, right))
 
     def local(path: str) -> str:
         return "file://" + path.removeprefix("file:").replace("///", "/") if path.startswith(("file:", "/")) else path.replace("s3a://", "s3://", 1)
 
-    right_of: dict[str, list[str]] = {}
-    for p, c in r_files:
-        right_of.setdefault(str(c), []).append(local(p))
+    right_of: dict[str, list[tuple[str, int]]] = {}
+    for p, c, n in r_files:
+        right_of.setdefault(str(c), []).append((local(p), n))
     plan = {
-        "left": [(local(p), str(c)) for p, c in l_files if str(c) in right_of], "right": right_of, 
+        "left": [(local(p), str(c), n) for p, c, n in l_files if str(c) in right_of], "right": right_of, "least": 2 * spark.sparkContext.defaultParallelism,
         "left_keys": left.keys, "right_keys": right.keys, "left_columns": left.columns.names, "right_columns": right.columns.names,
     }
     spark.dataSource.register(PairSource)

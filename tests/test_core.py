@@ -130,6 +130,33 @@ def test_layout_join_needs_no_exchange_and_empty_sides_work(spark):
     assert joins.congruent_join(spark, write_fixed(a, "k", 3), write_fixed(b, "j", 2)).count() == 0
 
 
+def test_small_shards_share_files_and_tasks(spark):
+    a = spark.range(40_000).select(F.when(F.col("id") < 8_000, 7).otherwise(F.col("id") % 9_000).alias("k"), F.col("id").alias("x"))
+    b = spark.range(9_000).select(F.col("id").alias("j"), (F.col("id") * 3).alias("y"))
+    m, n = write_by_threshold(a, "k", 0.01, 0.25), write_by_threshold(b, "j", 0.01, 0.05)
+    assert m.packed and read_manifest(spark, m.path) == m
+    rows = read_directory(spark, m).groupBy("bucket_id", "shard_id").count().collect()
+    of = lambda bucket: [r["count"] for r in rows if r.bucket_id == bucket]
+    assert len(rows) == sum(m.shards.values()) and all(len(of(int(k))) == v for k, v in m.shards.items())  # every shard is there
+    kept = [f.bucket_id for f in files(spark, m).collect()]
+    hot = max(m.shards, key=m.shards.get)
+    assert kept.count(int(hot)) > 1 and len(kept) * 8 < len(rows)  # by bytes, not by shards
+    bytes_of = lambda t: t.count() * (88 + 6)
+    assert len(kept) <= m.num_buckets + bytes_of(a) / (0.25 * 2**20)
+    joins.validate_sorted(read_directory(spark, m), "k")
+    j = joins.congruent_join(spark, m, n)
+    assert counted(j.select("k", "x", "j", "y")) == counted(a.join(b, F.col("k") == F.col("j")).select("k", "x", "j", "y"))
+    assert j.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1  # two neighbours are over the limit of one
+
+
+def test_bundles_hold_every_file_once():
+    left, right = [(f"l{i}", str(i % 3), 10 * i) for i in range(20)], {"0": [("r0", 5)], "1": [("r1", 5), ("r2", 900)], "2": []}
+    for least, most in ((1, 10), (4, 1 << 30), (1, 1 << 30), (100, 50)):
+        runs = pairs.bundled(left, right, least, most)
+        assert [x for run in runs for x in run] == [(p, c) for p, c, _ in left] and all(runs)
+    assert len(pairs.bundled(left, right, 1, 10)) > 15 and len(pairs.bundled(left, right, 1, 1 << 30)) == 1 and pairs.bundled([], right, 4) == []
+
+
 def test_unsorted_layouts_are_found(spark):
     m = write_fixed(spark.range(1000).withColumnRenamed("id", "k"), "k", 1)
     joins.validate_sorted(read_directory(spark, m), "k")
