@@ -229,7 +229,7 @@ def skew_join(left: DataFrame, on: str, spread: str, right: DataFrame, right_on:
     if most is None or most < LIGHT or most * 1000 <= total:
         return left.join(right, F.col(on) == F.col(right_on))
     heavy = by_key.where((F.col("__bl_n") * 1000 > total) & (F.col("__bl_n") >= LIGHT))
-    heavy = F.broadcast(stash(heavy.select("__bl_key", F.ceil(F.col("__bl_n") * 1000 / F.lit(total)).cast("int").alias("__bl_salts")), "heavy"))
+    heavy = F.broadcast(stash(heavy.select("__bl_key", F.ceil(F.col("__bl_n") * 1000 / F.lit(total)).cast("int").alias("__bl_salts")), "heavy", rows=1000))
     salts = F.coalesce("__bl_salts", F.lit(1))
     a = left.join(heavy, F.col(on) == F.col("__bl_key"), "left").withColumn("__bl_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__bl_key", "__bl_salts")
     b = right.join(heavy, F.col(right_on) == F.col("__bl_key"), "left").withColumn("__bl_salt_r", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__bl_key", "__bl_salts")
@@ -244,14 +244,14 @@ def _pointed(df: DataFrame, on: str, spread: str, pointers: DataFrame, n: int, s
     return skew_join(df, on, spread, to, "p_node", sized).drop("p_node")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b), root the smallest node of its component.
+def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
+    """(node, root) for every node of links (a, b), root the smallest node of its component. n_links: a bound of their number, if known.
 
     Each turn points every node at its smallest neighbour's smallest neighbour and contracts the links to those ends,
     so stars vanish in one turn and chains shrink to a third at least. The smallest node of a component always points
     at itself, so it is the one that is left. Everything stays in tables; the driver sees counts only.
     """
-    edges = stash(links.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = stash(links.select("a", "b").where("a <> b").distinct(), "edges", rows=n_links)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     first, most = True, 0
     while n := edges.count():

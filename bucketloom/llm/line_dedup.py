@@ -19,6 +19,9 @@ THRESHOLD is 1 for all lengths: the splits, the single-character keys and the au
 Classes are connected components. The first line of a class (smallest doc_id, then line number) stays, all others are
 dropped; with null ids last.
 
+Each table but the first has a file for each core, or more where its rows (which are counted or bounded first) are many,
+however many partitions shuffles have: a small table cut into hundreds of files costs more than its rows do.
+
 Defined results: null text has no lines; lines of any length are taken whole; repeated rows with the same id and
 text are one document and get the same answer; an empty table gives no rows; extra columns are ignored by the query and
 kept by `deduplicated`.
@@ -36,6 +39,8 @@ MIN_CHARS = 20
 FINE = 16
 SMALL = 64
 NO_ID = 2**63 - 1
+#: Rows with a text, or pairs whose texts are compared, that one task takes.
+TEXTS_A_FILE = 20_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -126,40 +131,45 @@ def checked(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, docs: DataFrame, clashes: DataFrame | None = None) -> DataFrame:
     """(a, b): links between line hashes that connect all lines within one edit of each other."""
+    n_lines = distinct.count()
     keyed = distinct.select("h", F.explode("keys").alias("key"))
-    shared = stash(shared_keys(keyed), "segments")
-    some = stash(skew_join(keyed, "key", "h", shared.select("k_key"), "k_key").select("h").distinct(), "probed")
+    shared = stash(shared_keys(keyed), "segments", rows=2 * n_lines)  # four keys a line, two lines a key
+    some = stash(skew_join(keyed, "key", "h", shared.select("k_key"), "k_key").select("h").distinct(), "probed", rows=n_lines)
     n_some = some.count()
 
     lines = apart(lines_of(docs).select(line_hash(F.col("line")).alias("h"), second_hash(F.col("line")).alias("again"), "line"), clashes)
     wanted = filtered(lines, F.col("h"), some, F.col("h"), n_some)
     # copies meet in a task before they are shuffled, so a line that many documents share is nobody's burden
     texts = wanted.groupBy("h", "line").agg(F.count(F.lit(1)).alias("n")).select("h", "line").join(some.select(F.col("h").alias("s_h")), F.col("h") == F.col("s_h"), "left_semi")
-    texts = stash(texts, "lines")
+    texts = stash(texts, "lines", rows=n_some, a_file=TEXTS_A_FILE)
     n = F.char_length("line")
     fine = texts.select("h", F.explode(F.array_distinct(fine_keys(F.col("line"), n))).alias("key"))
-    buckets = stash(shared_keys(fine), "windows")
-    members = stash(skew_join(fine, "key", "h", buckets.select("k_key", "n"), "k_key").select("h", "key", "n"), "members")
+    buckets = stash(shared_keys(fine), "windows", rows=FINE * n_some)
+    members = stash(skew_join(fine, "key", "h", buckets.select("k_key", "n"), "k_key").select("h", "key", "n"), "members", rows=2 * FINE * n_some)
     found = texts.select(F.col("h").alias("t_h"), "line")
 
     small = members.where(F.col("n") <= SMALL)
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    verified = stash(checked(stash(pairs, "pairs"), found), "verified")
+    most = buckets.where(F.col("n") <= SMALL).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))).first()[0]
+    pairs = stash(pairs, "pairs", rows=most)
+    verified = stash(checked(pairs, found), "verified", rows=pairs.count(), a_file=TEXTS_A_FILE)
 
-    large = stash(members.where(F.col("n") > SMALL).select("h").distinct(), "crowded")
+    large = stash(members.where(F.col("n") > SMALL).select("h").distinct(), "crowded", rows=n_some)
     if large.isEmpty():
         return verified
     crowded = large.join(found, F.col("h") == F.col("t_h")).select("h", "line")
     whole = F.char_length("line")
     cut = lambda i: F.concat(F.substring("line", F.lit(1), i), F.substring("line", i + 2, whole))
+    n_chars = crowded.agg(F.sum(whole)).first()[0]
     places = F.sequence(F.lit(0), whole - 1)
     swaps = crowded.select("h", F.explode(F.transform(places, lambda i: F.xxhash64(F.lit(4), i, cut(i)))).alias("key"))
-    alike = stash(swaps.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select(F.col("key").alias("k_key"), "low"), "alike")
+    alike = stash(swaps.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select(F.col("key").alias("k_key"), "low"), "alike", rows=n_chars)
     starred = skew_join(swaps, "key", "h", alike, "k_key").where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b"))
     shorter = crowded.select("h", F.explode(F.array_distinct(F.transform(places, lambda i: line_hash(cut(i))))).alias("key"))
     grown = skew_join(shorter, "key", "h", large.select(F.col("h").alias("o_h")), "o_h").select(F.col("o_h").alias("a"), F.col("h").alias("b"))
-    crowd = stash(starred.unionByName(grown).distinct(), "crowded-pairs")
-    return verified.unionByName(stash(checked(crowd, crowded.select(F.col("h").alias("t_h"), "line")), "crowded-links"))
+    crowd = stash(starred.unionByName(grown).distinct(), "crowded-pairs", rows=2 * n_chars)
+    crowded_links = checked(crowd, crowded.select(F.col("h").alias("t_h"), "line"))
+    return verified.unionByName(stash(crowded_links, "crowded-links", rows=crowd.count(), a_file=TEXTS_A_FILE))
 
 
 def decisions(docs: DataFrame) -> DataFrame:
@@ -169,21 +179,24 @@ def decisions(docs: DataFrame) -> DataFrame:
     keys = F.when(n >= MIN_CHARS, segment_keys(line, n)).otherwise(F.array().cast("array<bigint>"))
     places = lines_of(docs).select("doc_id", "text_key", "line_no", line_hash(line).alias("h"), second_hash(line).alias("again"), keys.alias("keys"))
     places = stash(places, "places")
+    n_places = places.count()
     owner = F.coalesce("doc_id", F.lit(NO_ID))
-    count = lambda t: stash(t.groupBy("h").agg(F.min(owner).alias("first_doc"), F.count(F.lit(1)).alias("n"), F.min("again").alias("low"), F.max("again").alias("high")), "counted")
+    count = lambda t: stash(t.groupBy("h").agg(F.min(owner).alias("first_doc"), F.count(F.lit(1)).alias("n"), F.min("again").alias("low"), F.max("again").alias("high")), "counted", rows=n_places)
     counted = count(places)
     clashes = counted.where("low <> high").select(F.col("h").alias("x_h"))
     if clashes.isEmpty():  # as in nearly every corpus
         clashes = None
     else:
-        clashes = stash(clashes, "clashes")
+        clashes = stash(clashes, "clashes", rows=n_places)
         places = stash(apart(places, clashes), "places")
         counted = count(places)
-    roots = stash(components(links(places.select("h", "keys"), docs, clashes)).select(F.col("node").alias("r_node"), "root"), "roots")
-    classed = stash(counted.join(roots, F.col("h") == F.col("r_node"), "left").select("h", F.coalesce("root", "h").alias("class"), "first_doc", "n"), "classed")
+    linked = links(places.select("h", "keys"), docs, clashes)
+    n_links = linked.count()
+    roots = components(linked, n_links).select(F.col("node").alias("r_node"), "root")
+    classed = stash(counted.join(roots, F.col("h") == F.col("r_node"), "left").select("h", F.coalesce("root", "h").alias("class"), "first_doc", "n"), "classed", rows=n_places)
     whole = classed.groupBy(F.col("class").alias("w_class")).agg(F.min("first_doc").alias("keep_doc"), F.sum("n").alias("size")).where("size > 1")
-    several = stash(classed.join(whole, F.col("class") == F.col("w_class")).select(F.col("h").alias("c_h"), "class", "keep_doc"), "several")
-    seen = stash(skew_join(places.select("doc_id", "text_key", "line_no", "h"), "h", "line_no", several, "c_h").select("doc_id", "text_key", "line_no", "class", "keep_doc"), "seen").distinct()
+    several = stash(classed.join(whole, F.col("class") == F.col("w_class")).select(F.col("h").alias("c_h"), "class", "keep_doc"), "several", rows=n_places)
+    seen = stash(skew_join(places.select("doc_id", "text_key", "line_no", "h"), "h", "line_no", several, "c_h").select("doc_id", "text_key", "line_no", "class", "keep_doc"), "seen", rows=n_places).distinct()
     away = seen.where(owner != F.col("keep_doc")).select("doc_id", "text_key", "line_no")
     home = seen.where(owner == F.col("keep_doc"))
     # rows that share the id of the first one are told apart by their text; the smallest stays

@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("bucketloom.llm")
 
-from bucketloom.llm import exact_dedup, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets, sharding  # noqa: E402
+from bucketloom.llm import common, exact_dedup, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets, sharding  # noqa: E402
 
 W = [f"w{i}" for i in range(400)]
 
@@ -167,6 +167,40 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch, small):
     assert {r.doc_id: len(r.dropped) for r in got} == {k: int(first[root[x]] != k) for k, x in enumerate(lines)}
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_line_dedup_writes_few_files(spark, monkeypatch, small):
+    """Small tables stay a file a core where shuffles have many partitions, with the same answers."""
+    made = []
+
+    def noted(df, name, stash=common.stash, **more):
+        out = stash(df, name, **more)
+        made.append((name, len(out.inputFiles())))
+        return out
+
+    r = random.Random(8)
+    phrases = ["the quick brown fox jumps over", "a sentence of some length and", "nothing in here is quite like it"]
+    lines = [f"{r.choice(phrases)} {r.randrange(300):03d} {r.choice('abc')}" for _ in range(1500)]
+    docs = spark.createDataFrame([(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(500)], "doc_id long, text string")
+    answers = lambda: sorted((x.doc_id, tuple(x.dropped)) for x in line_dedup.decisions(docs).collect())
+    want = answers()
+    for at in (line_dedup, common):
+        monkeypatch.setattr(at, "stash", noted)
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = answers()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and any(dropped for _, dropped in got)
+    cores = spark.sparkContext.defaultParallelism
+    assert {name for name, _ in made} >= {"segments", "pairs", "verified", "seen"}
+    assert [(name, n) for name, n in made if n > cores] == []
+
+
 def test_lines_that_share_a_hash(spark, monkeypatch):
     from pyspark.sql import functions as F
 
