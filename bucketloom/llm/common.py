@@ -43,6 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of a few numbers that one task writes.
 ROWS_A_FILE = 200_000
+#: Documents that one task reads where it writes little for each, or nothing but their texts.
+TEXTS_A_TASK = 50_000
+
+#: Hadoop's local file system without checksum files beside the tables. Without its native library Hadoop starts a
+#: process for each mode that it sets, some for a file, its checksum file and its folder; until such a process runs its
+#: program it has all of the executor's memory a second time. Parquet's own checksums of pages are verified instead.
+#: A file system of another scheme does not look at this.
+PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
@@ -53,8 +62,9 @@ def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows: in
     spark = df.sparkSession
     df = df if rows is None else df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(rows / a_file)))
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    local = {} if spark._jsc.hadoopConfiguration().get("fs.file.impl") else PLAIN_LOCAL  # one that the caller named stays
+    df.write.options(compression="zstd", **local, **{"parquet.page.write-checksum.enabled": "true"}).partitionBy(*partition_by).parquet(path)
+    return spark.read.options(**VERIFIED).schema(df.schema).parquet(path)
 
 
 def drop_stashes(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketloom.llm.common import BROADCAST_ROWS, bitmap_of, documents, drop_listed, filter_bits, filtered, lower_ascii, may_hold, one_of_listed, stash
+from bucketloom.llm.common import BROADCAST_ROWS, TEXTS_A_TASK, bitmap_of, documents, drop_listed, filter_bits, filtered, lower_ascii, may_hold, one_of_listed, stash
 
 SLICES = 4
 #: Runs of a level that are merged into one of the next.
@@ -144,7 +144,8 @@ def groups(rows: DataFrame, keep: str = "max", digest=sha256, slices: int = SLIC
     group_size) one a text. rows need doc_id and text; part tells texts with one digest apart (null: all equal)."""
     norm = normalised(F.col("text"))
     slice_ = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int")
-    narrow = stash(rows.select("doc_id", digest(norm).alias("digest"), slice_.alias("slice")), "digests", ("slice",))
+    total = rows.count()
+    narrow = stash(rows.select("doc_id", digest(norm).alias("digest"), slice_.alias("slice")), "digests", ("slice",), rows=total, a_file=TEXTS_A_TASK)
     index = Index()
     for k in range(slices):
         index.add(narrow.where(F.col("slice") == k).drop("slice"))
@@ -164,14 +165,14 @@ def groups(rows: DataFrame, keep: str = "max", digest=sha256, slices: int = SLIC
     else:
         texts = filtered(texts, prefix(F.col("digest")), hits, prefix(F.col("digest")), n_hits)
     verified = texts.groupBy("digest", "norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    verified = stash(verified.withColumn("part", split_name(F.col("norm"))).drop("norm"), "verified")
-    split = stash(verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "split")
+    verified = stash(verified.withColumn("part", split_name(F.col("norm"))).drop("norm"), "verified", rows=total)
+    split = stash(verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "split", rows=total)
     if split.isEmpty():
         return narrow.withColumn("part", nothing), level.withColumn("part", nothing)
     mixed = rows.select("doc_id", digest(norm).alias("digest"), norm.alias("norm")).join(split, "digest")
     members = narrow.join(split, "digest", "left_anti").select("doc_id", "digest", nothing.alias("part")).unionByName(mixed.select("doc_id", "digest", split_name(F.col("norm")).alias("part")))
     whole = level.join(split, "digest", "left_anti").withColumn("part", nothing).unionByName(verified.join(split, "digest", "left_semi"))
-    return stash(members, "members"), stash(whole, "index")
+    return stash(members, "members", rows=total, a_file=TEXTS_A_TASK), stash(whole, "index", rows=total)
 
 
 def decisions(rows: DataFrame, keep: str = "max", digest=sha256, slices: int = SLICES) -> DataFrame:
@@ -196,10 +197,11 @@ def decisions(rows: DataFrame, keep: str = "max", digest=sha256, slices: int = S
 
 def kept_rows(rows: DataFrame, keep: str = "max") -> DataFrame:
     """One row of each group of copies, all columns kept; of rows that repeat id and text, any one."""
-    d = stash(decisions(rows.select("doc_id", "text"), keep).where("group_size > 1"), "in-groups")
+    total = rows.count()
+    d = stash(decisions(rows.select("doc_id", "text"), keep).where("group_size > 1"), "in-groups", rows=total)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = stash(d.where(~stays).select("doc_id", "digest").distinct(), "gone")
-    again = stash(d.where(stays).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    gone = stash(d.where(~stays).select("doc_id", "digest").distinct(), "gone", rows=total)
+    again = stash(d.where(stays).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated", rows=total)
     marked = rows.withColumn("__bl_digest", sha256(normalised(F.col("text"))))
     on = (["doc_id", "digest"], ["doc_id", "__bl_digest"], prefix(F.col("digest")), prefix(F.col("__bl_digest")))
     left = drop_listed(marked, gone, *on)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketloom.llm.common import BROADCAST_ROWS, checked_broadcast, documents, group_ranks, out_of_the_way, skew_join, stash
+from bucketloom.llm.common import BROADCAST_ROWS, TEXTS_A_TASK, checked_broadcast, documents, group_ranks, out_of_the_way, skew_join, stash
 
 BLOCK_ROWS = 32
 MOST_BLOCKS = 1 << 19
@@ -142,11 +142,11 @@ def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, file_ro
     Only keys are ranked; a row takes its rank by its keys. Rows that repeat all keys have ranks in a row, over which they
     are dealt about evenly, so a block with such rows can hold a few more or less than others. A row's slot tells a row its file, so the rows are sorted without being sampled first."""
     text_key = F.xxhash64("text")
-    keys = stash(docs.select("doc_id", text_key.alias("text_key"), source_name("source").alias("mix_source")), "keys")
+    keys = stash(docs.select("doc_id", text_key.alias("text_key"), source_name("source").alias("mix_source")), "keys", rows=docs.count(), a_file=TEXTS_A_TASK)
     blocks, block_rows, total = planned(keys, weights, None)
     ranked = group_ranks(keys, "mix_source", ["doc_id", "text_key"], "__bl_in_source", total)
     first = ranked.groupBy("doc_id", "text_key", "mix_source").agg(F.min("__bl_in_source").alias("p_rank"), F.count(F.lit(1)).alias("p_n"))
-    first = stash(first.select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("mix_source").alias("mix_source"), "p_rank", "p_n", F.xxhash64("doc_id", "text_key", "mix_source").alias("p_hash")), "ranks")
+    first = stash(first.select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("mix_source").alias("mix_source"), "p_rank", "p_n", F.xxhash64("doc_id", "text_key", "mix_source").alias("p_hash")), "ranks", rows=total)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__bl_row")
     held = docs.select(row, F.col("doc_id").alias("k_id"), text_key.alias("k_key"), source_name("source").alias("k_source"))
     held = held.withColumn("k_hash", F.xxhash64("k_id", "k_key", "k_source")).withColumn("k_turn", F.monotonically_increasing_id())

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketloom.llm.common import BROADCAST_ROWS, components, documents, drop_listed, filtered, lookup, one_of_listed, release_memory, skew_join, small_batches, stash
+from bucketloom.llm.common import BROADCAST_ROWS, TEXTS_A_TASK, components, documents, drop_listed, filtered, lookup, one_of_listed, release_memory, skew_join, small_batches, stash
 
 BANDS, ROWS = 30, 5
 BATCH = 15
@@ -277,7 +277,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in nodes], "int64"), pa.array([y for _, y in nodes], "int64"), pa.array(sets, "binary")], ["node", "again", "shingles"])
         _tidy()
 
-    return stash(found.select("text").mapInArrow(shingle, "node bigint, again bigint, shingles binary"), "sets")
+    return stash(found.select("text").mapInArrow(shingle, "node bigint, again bigint, shingles binary"), "sets", rows=docs.count(), a_file=TEXTS_A_TASK)
 
 
 def few_pairs(members: DataFrame) -> DataFrame:
@@ -482,15 +482,15 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, keep_id, keep_key, alone for each row of docs (doc_id, text): the id and
     text hash of the row that stays for its component, and whether the component has no other row."""
     with small_batches(docs.sparkSession):
-        sketched = stash(sketches(docs, k), "sketches")
+        sketched = stash(sketches(docs, k), "sketches", rows=docs.count(), a_file=TEXTS_A_TASK)
     total = sketched.count()
     apart = clashes(sketched.where("node is not null"))
     if apart is not None:
-        sketched = stash(_apart(sketched, apart), "sketches")
+        sketched = stash(_apart(sketched, apart), "sketches", rows=total, a_file=TEXTS_A_TASK)
     own = sketched.where("node is not null")
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("order"), "text_key", "doc_id"))
     nodes = own.groupBy("node").agg(best.alias("best"), F.count(F.lit(1)).alias("rows")).select("node", "best", "best.doc_id", "best.text_key", "rows")
-    nodes = stash(nodes, "nodes")
+    nodes = stash(nodes, "nodes", rows=total)
     labels = link_nodes(docs, own, nodes, k)
     if labels is None:
         labelled = nodes.withColumn("label", F.col("node"))
@@ -498,10 +498,10 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
         to = labels.select(F.col("node").alias("l_node"), F.col("label"))
         to = F.broadcast(to) if labels.count() <= BROADCAST_ROWS else to
         labelled = nodes.join(to, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
-    labelled = stash(labelled.select("node", "best", "rows", "label"), "components")
+    labelled = stash(labelled.select("node", "best", "rows", "label"), "components", rows=total)
     whole = labelled.groupBy(F.col("label").alias("w_label")).agg(F.min("best").alias("least"), F.sum("rows").alias("size")).where("size > 1")
     several = skew_join(labelled, "label", "node", whole, "w_label").select(F.col("node").alias("i_node"), "rows", F.col("least.doc_id").alias("keep_id"), F.col("least.text_key").alias("keep_key"), F.lit(False).alias("alone"))
-    rows = answers(sketched.select("doc_id", "text_key", "n_shingles", "node"), stash(several, "several"), total)
+    rows = answers(sketched.select("doc_id", "text_key", "n_shingles", "node"), stash(several, "several", rows=total), total)
     single = F.col("alone").isNull()
     return rows.select(
         "doc_id", "text_key", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("component_id"),
@@ -512,10 +512,11 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
 def kept_rows(docs: DataFrame, k: int = 5) -> DataFrame:
     """One row of each group of near-duplicates, all columns kept: of the smallest id, of its texts that with the smallest
     hash, and of rows that repeat both any one."""
-    g = stash(grouped(docs.select("doc_id", "text"), k).where("not alone").select("doc_id", "text_key", "keep_id", "keep_key"), "in-groups")
+    total = docs.count()
+    g = stash(grouped(docs.select("doc_id", "text"), k).where("not alone").select("doc_id", "text_key", "keep_id", "keep_key"), "in-groups", rows=total)
     stays: Column = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
-    gone = stash(g.where(~stays).select("doc_id", "text_key").distinct(), "gone")
-    again = stash(g.where(stays).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    gone = stash(g.where(~stays).select("doc_id", "text_key").distinct(), "gone", rows=total)
+    again = stash(g.where(stays).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated", rows=total)
     marked = docs.withColumn("__bl_text_key", F.xxhash64("text"))
     on = (["doc_id", "text_key"], ["doc_id", "__bl_text_key"], F.col("text_key"), F.col("__bl_text_key"))
     left = drop_listed(marked, gone, *on)

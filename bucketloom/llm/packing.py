@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bucketloom.llm.common import BROADCAST_ROWS, checked_broadcast, documents, release_memory, small_batches, stash
+from bucketloom.llm.common import BROADCAST_ROWS, TEXTS_A_TASK, checked_broadcast, documents, release_memory, small_batches, stash
 
 CAPACITY = 1024
 END = 2
@@ -384,7 +384,7 @@ def tokenizer_file() -> str:
 
 def packed(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     with small_batches(docs.sparkSession):
-        cut = stash(pieces(docs, tokenizer_path or tokenizer_file()), "pieces")
+        cut = stash(pieces(docs, tokenizer_path or tokenizer_file()), "pieces", rows=docs.count(), a_file=TEXTS_A_TASK)
     return pack(cut)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bucketloom.llm.common import checked_broadcast, documents, drop_listed, release_memory, small_batches, stash
+from bucketloom.llm.common import TEXTS_A_TASK, checked_broadcast, documents, drop_listed, release_memory, small_batches, stash
 
 ORDER = 4
 #: Entries of a model that is broadcast: 12 bytes each.
@@ -133,11 +133,12 @@ def _low(gram: Column, chars: int) -> Column:
 
 def kneser_ney(counts: DataFrame, max_langs: int = 10_000) -> DataFrame:
     """(lang, gram, n0, n1, logp0, logp1) for the grams of counts, interpolated modified Kneser-Ney. logp0 is by the
-    model of the counts n0 alone and logp1 by that of n1 alone; each backs off for what its half does not hold."""
-    levels = {ORDER: stash(counts, "grams")}
+    model of the counts n0 alone and logp1 by that of n1 alone; each backs off for what its half does not hold.
+    counts is read many times, so it should be a table."""
+    levels, n_grams = {ORDER: counts}, counts.count()
     for k in range(ORDER - 1, 0, -1):  # how many characters stand before each shorter gram
         before = [F.sum((F.col(f"n{h}") > 0).cast("long")).alias(f"n{h}") for h in HALVES]
-        levels[k] = stash(levels[k + 1].groupBy("lang", _low(F.col("gram"), k).alias("gram")).agg(*before), f"grams{k}")
+        levels[k] = stash(levels[k + 1].groupBy("lang", _low(F.col("gram"), k).alias("gram")).agg(*before), f"grams{k}", rows=n_grams)
 
     lower = None
     for k in range(1, ORDER + 1):
@@ -150,7 +151,7 @@ def kneser_ney(counts: DataFrame, max_langs: int = 10_000) -> DataFrame:
             return F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{h}_{i + 1}"), F.col(f"n{h}_{i}")), F.lit(0.5 * i))))
 
         seen = seen.select("d_lang", "kinds", *[bounded(h, i).alias(f"d{h}_{i}") for h in HALVES for i in (1, 2, 3)])
-        seen, _ = checked_broadcast(stash(seen, f"discounts{k}"), max_langs)
+        seen, _ = checked_broadcast(stash(seen, f"discounts{k}", rows=max_langs), max_langs)
         t = levels[k].join(seen, F.col("lang") == F.col("d_lang")).withColumn("context", F.shiftrightunsigned("gram", 16))
         context = Window.partitionBy("lang", "context")
         for h in HALVES:
@@ -167,7 +168,7 @@ def kneser_ney(counts: DataFrame, max_langs: int = 10_000) -> DataFrame:
             below = {h: F.col(f"b_p{h}") for h in HALVES}
         lower = t.select("lang", "gram", *[f"n{h}" for h in HALVES], *[(F.col(f"own{h}") + F.col(f"back{h}") * below[h]).alias(f"p{h}") for h in HALVES])
         if 1 < k < ORDER:
-            lower = stash(lower, f"p{k}")
+            lower = stash(lower, f"p{k}", rows=n_grams)
     return lower.select("lang", "gram", *[f"n{h}" for h in HALVES], *[F.log(f"p{h}").alias(f"logp{h}") for h in HALVES])
 
 
@@ -194,7 +195,8 @@ def train(docs: DataFrame) -> DataFrame:
                 own = pa.RecordBatch.from_arrays([pa.array(key.view("int64")), b[f"n{half}"], b[f"logp{1 - half}"].cast("float32")], ["key", "n", "logp"])
                 yield own.filter(pc.greater(own["n"], 0)).select(["key", "logp"])
 
-    return stash(kneser_ney(gram_counts(docs)).mapInArrow(run, "key bigint, logp float"), "model")
+    counts = stash(gram_counts(docs), "grams")
+    return stash(kneser_ney(counts).mapInArrow(run, "key bigint, logp float"), "model", rows=len(HALVES) * counts.count())
 
 
 def arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -290,15 +292,16 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """What `score` gives with log_ppl, base_failed and kept."""
+    total = docs.count()
     with small_batches(docs.sparkSession):
-        scored = stash(score(docs, train(docs)), "scores")
+        scored = stash(score(docs, train(docs)), "scores", rows=total, a_file=TEXTS_A_TASK)
     letters = F.greatest(F.col("word_chars") - F.col("n_symbols"), F.lit(1))
     t = scored.withColumn("log_ppl", -F.col("log_likelihood") / letters).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = F.percentile_approx("log_ppl", F.lit([0.25, 0.5, 0.75]), 10_000)
     bands = t.where("not base_failed").groupBy(F.col("lang").alias("q_lang")).agg(q.alias("q"))
     between = lambda a, b: F.greatest(F.lit(LEAST_SPREAD), F.get("q", F.lit(b)) - F.get("q", F.lit(a)))
     bands = bands.select("q_lang", F.get("q", F.lit(1)).alias("middle"), between(0, 1).alias("lower"), between(1, 2).alias("upper"))
-    bands, _ = checked_broadcast(stash(bands, "bands"), 10_000)
+    bands, _ = checked_broadcast(stash(bands, "bands", rows=10_000), 10_000)
     t = t.join(bands, F.col("lang") == F.col("q_lang"), "left")
     off = F.col("log_ppl") - F.col("middle")
     spread, band = F.when(off > 0, F.col("upper")).otherwise(F.col("lower")), F.when(off > 0, F.lit(UPPER_BAND)).otherwise(F.lit(LOWER_BAND))
@@ -308,9 +311,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """docs without the rejected rows, all columns kept."""
-    gone = verdicts(docs).where("not kept").select("doc_id", "text_key").distinct()
+    gone = stash(verdicts(docs).where("not kept").select("doc_id", "text_key").distinct(), "rejected", rows=docs.count())
     marked = docs.withColumn("__bl_text_key", F.xxhash64("text"))
-    return drop_listed(marked, stash(gone, "rejected"), ["doc_id", "text_key"], ["doc_id", "__bl_text_key"], F.col("text_key"), F.col("__bl_text_key")).drop("__bl_text_key")
+    return drop_listed(marked, gone, ["doc_id", "text_key"], ["doc_id", "__bl_text_key"], F.col("text_key"), F.col("__bl_text_key")).drop("__bl_text_key")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

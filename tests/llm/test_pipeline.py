@@ -172,3 +172,35 @@ assert "flagship" in names and "pipeline" not in names and sum(x.startswith("op"
 assert all(x in names for x in e.oracle_sql())
 """
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_tables_are_few_files_without_checksum_files(spark, tmp_path, monkeypatch):
+    """Hadoop starts a process for each local file, each checksum file and each task's folder that it makes."""
+    from pyspark.sql import functions as F
+
+    from bucketloom.llm import common, exact_dedup, near_dedup
+
+    made = []
+
+    def noted(df, name, partition_by=(), stash=common.stash, **more):
+        out = stash(df, name, partition_by, **more)
+        made.append((name, [Path(x.removeprefix("file:")) for x in out.inputFiles()]))
+        return out
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.createDataFrame(corpus() * 4, SCHEMA).repartition(5 * cores, F.rand(3)).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for at in (common, quality, exact_dedup, near_dedup, mixing, packing):
+        monkeypatch.setattr(at, "stash", noted)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a split for each file
+        docs = documents(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() > 4 * cores
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    many = {"scores": 1, "rejected": 1, "digests": exact_dedup.SLICES, "in-groups": 1, "sketches": 1, "sets": 1, "keys": 1, "pieces": 1}
+    assert many.keys() <= {name for name, _ in made}
+    assert [(name, len(files)) for name, files in made if len(files) > cores * many.get(name, len(files))] == []
+    assert [x for _, files in made for f in files for x in f.parent.glob(".*.crc")] == []
